@@ -84,6 +84,33 @@ def _signature(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bitwise_xor.reduce(np.where(low, bit, zero), axis=1), np.bitwise_xor.reduce(np.where(low, zero, bit), axis=1)
 
 
+#: Texts longer than this carry counts of the characters on either side of each term, and themselves: with many characters
+#: of few kinds, as in alphabets, the parity signature tells little, and candidates would be many.
+LONG = 64
+SIDES = [f"{side}{k}" for side in "lr" for k in range(4)]
+
+
+def _sides(codes: np.ndarray, at: np.ndarray, q: int) -> list[np.ndarray]:
+    """Eight words a term: counts up to 8 of 32 classes of characters left and right of it, one bit a character.
+
+    The bits in which two such counts differ are at most twice the edits on that side.
+    """
+    n, length = codes.shape
+    if length <= LONG:
+        zero = np.zeros(at.size, dtype=np.int64)
+        return [zero] * 8
+    kinds = (_mix(codes + np.uint64(131)) & np.uint64(31)).astype(np.int64)
+    up_to = np.zeros((n, length + 1, 32), dtype=np.int16)
+    np.put_along_axis(up_to[:, 1:], kinds[:, :, None], 1, axis=2)
+    np.cumsum(up_to, axis=1, out=up_to)
+    rows = np.arange(n)[:, None]
+    left = up_to[rows, at]
+    right = up_to[:, -1:] - up_to[rows, at + q]
+    bits = np.array([(1 << c) - 1 for c in range(9)], dtype=np.uint8)
+    words = [np.ascontiguousarray(bits[np.minimum(side, 8)]).view(np.int64).reshape(-1, 4) for side in (left, right)]
+    return [w[:, k] for w in words for k in range(4)]
+
+
 def _by_length(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, positions in the batch, code points) of texts of equal length, in portions of bounded size."""
     lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
@@ -137,7 +164,7 @@ def document_frequencies(texts: DataFrame, text: str) -> np.ndarray:
     return cells
 
 
-_POSTING = "term long, id long, length int, at int, sig1 long, sig2 long"
+_POSTING = "term long, id long, length int, at int, nth int, sig1 long, sig2 long, " + ", ".join(f"{c} long" for c in SIDES) + ", own string"
 
 
 def _postings(it: Iterator[pa.RecordBatch], cells, index: bool) -> Iterator[pa.RecordBatch]:
@@ -157,6 +184,7 @@ def _postings(it: Iterator[pa.RecordBatch], cells, index: bool) -> Iterator[pa.R
                     grams = np.take_along_axis(grams, at, axis=1)
                 else:
                     at = np.broadcast_to(np.arange(grams.shape[1], dtype=np.int32), grams.shape)
+                around = [w.reshape(at.shape) for w in _sides(codes, at, q)]
                 for flag, salt in sides:
                     on = np.flatnonzero(flag[some])
                     if not len(on):
@@ -169,10 +197,13 @@ def _postings(it: Iterator[pa.RecordBatch], cells, index: bool) -> Iterator[pa.R
                             pa.array(rep(ids[some])),
                             pa.array(np.full(len(on) * width, length, dtype=np.int32)),
                             pa.array(np.ascontiguousarray(at[on]).ravel().astype(np.int32)),
+                            pa.array(np.tile(np.arange(width, dtype=np.int32), len(on))),
                             pa.array(rep(sig1).view(np.int64)),
                             pa.array(rep(sig2).view(np.int64)),
+                            *[pa.array(np.ascontiguousarray(w[on]).ravel()) for w in around],
+                            pa.array([texts[i] for i in some[on] for _ in range(width)], pa.string()) if length > LONG else pa.nulls(len(on) * width, pa.string()),
                         ],
-                        names=["term", "id", "length", "at", "sig1", "sig2"],
+                        names=["term", "id", "length", "at", "nth", "sig1", "sig2", *SIDES, "own"],
                     )
 
 
@@ -226,7 +257,11 @@ def near_texts(texts: DataFrame) -> DataFrame:
     delta = F.col("y.length") - F.col("x.length")
     shift = F.col("y.at") - F.col("x.at")
     flips = F.bit_count(F.col("x.sig1").bitwiseXOR(F.col("y.sig1"))) + F.bit_count(F.col("x.sig2").bitwiseXOR(F.col("y.sig2")))
-    near = (delta <= 0) & (-delta <= d) & (F.abs(shift) + F.abs(delta - shift) <= d) & (flips <= 2 * d)
+    # of the disjoint terms take the first before whose end no more edits lie than terms before it: it stands whole, and at
+    # most so many edits lie on its left as terms do, the rest on its right; edits on a side bound the shift on that side
+    left, right = F.col("x.nth"), d - F.col("x.nth")
+    near = (delta <= 0) & (-delta <= d) & (F.abs(shift) <= left) & (F.abs(delta - shift) <= right) & (flips <= 2 * d)
+    near &= (F.col("y.length") <= LONG) | ((_bits("l") <= 2 * left) & (_bits("r") <= 2 * right) & F.expr(_AROUND))
     ids = lists.join(probes, (F.col("x.term") == F.col("y.term")) & near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     one, two = t.select(F.col("id").alias("a"), F.col("text").alias("a_text"), F.col("train").alias("a_train"), F.col("eval").alias("a_eval")), t.select(F.col("id").alias("b"), F.col("text").alias("b_text"), F.col("train").alias("b_train"), F.col("eval").alias("b_eval"))
     pairs = ids.join(one, "a").join(two, "b")
@@ -240,6 +275,21 @@ def near_texts(texts: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.filter(both, lambda p: p.isNotNull())).alias("p"), "distance", F.col("dot.cosine").alias("cosine")).select("p.train_text", "p.eval_text", "distance", "cosine")
 
 
+#: The edit distances on both sides of the term that two texts share, the side with fewer edits first. One of the terms of a
+#: near pair passes, and what passes is a near pair, so long texts need no candidates to be gathered and fetched.
+_LEFT = "levenshtein(substring(x.own, 1, x.at), substring(y.own, 1, y.at), x.nth) >= 0"
+_RIGHT = f"levenshtein(substring(x.own, x.at + {TERM} + 1), substring(y.own, y.at + {TERM} + 1), cast(x.length div {FIFTH} as int) - x.nth) >= 0"
+_AROUND = f"case when 2 * x.nth <= x.length div {FIFTH} then {_LEFT} and {_RIGHT} else {_RIGHT} and {_LEFT} end"
+
+
+def _bits(side: str) -> Column:
+    total = F.lit(0)
+    for c in SIDES:
+        if c[0] == side:
+            total = total + F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
+    return total
+
+
 def _dots(a: Column, b: Column, shared) -> Column:
     @F.pandas_udf("dot double, least double, cosine double")
     def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import conversations, overlap, packing, splits, tokenize, topn
+from tessera.llm import conversations, overlap, packing, splits, splitting, tokenize, topn
 from tessera.session import cut
 from tessera.sources.tables import table
 
@@ -19,6 +20,21 @@ def p1_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(table(spark, d, "app_threads"), table(spark, d, "app_messages"))
 
 
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    """Parents and chunks as items to be kept within size_limits."""
+    parents = table(spark, d, "evidence_parents").select(F.lit("parent").alias("item_kind"), F.col("parent_id").alias("item_id"), F.col("original_text").alias("text"))
+    chunks = table(spark, d, "retrieval_chunks").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), "text")
+    return parents.unionByName(chunks)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.oversized(_items(spark, d), table(spark, d, "size_limits"))
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_oversized(_items(spark, d), table(spark, d, "size_limits"))
+
+
 def p3_top(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(table(spark, d, "tcm_qg_hits"), 5, "parent_id", "score", ["rank", "hit_id"], ["qa_id", "strategy", "chunk_id"])
 
@@ -64,7 +80,7 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_conversations, p3_found, p3_top, p5_found, p5_splits, p5_shares, p6_found, p6_classes, p6_counts, p7_ids, p8_containers, p8_fill)}
+    return {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p3_found, p3_top, p5_found, p5_splits, p5_shares, p6_found, p6_classes, p6_counts, p7_ids, p8_containers, p8_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
