@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +59,22 @@ def cut(df: DataFrame) -> DataFrame:
 def fresh_path(spark: SparkSession, stem: str) -> str:
     """A path in the shared folder for one written table."""
     return f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once an application, so that nothing need be installed on the executors."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="tessera-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "tessera.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, str(source.relative_to(package.parent)))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
