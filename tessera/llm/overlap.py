@@ -262,9 +262,10 @@ def near_texts(texts: DataFrame) -> DataFrame:
     left, right = F.col("x.nth"), d - F.col("x.nth")
     near = (delta <= 0) & (-delta <= d) & (F.abs(shift) <= left) & (F.abs(delta - shift) <= right) & (flips <= 2 * d)
     near &= (F.col("y.length") <= LONG) | ((_bits("l") <= 2 * left) & (_bits("r") <= 2 * right) & F.expr(_AROUND))
-    ids = lists.join(probes, (F.col("x.term") == F.col("y.term")) & near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    # sizes of what Python yields are guessed too low, so no side may be broadcast on a guess
+    ids = lists.join(probes.hint("merge"), (F.col("x.term") == F.col("y.term")) & near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     one, two = t.select(F.col("id").alias("a"), F.col("text").alias("a_text"), F.col("train").alias("a_train"), F.col("eval").alias("a_eval")), t.select(F.col("id").alias("b"), F.col("text").alias("b_text"), F.col("train").alias("b_train"), F.col("eval").alias("b_eval"))
-    pairs = ids.join(one, "a").join(two, "b")
+    pairs = ids.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
     most = f"cast(greatest(length(a_text), length(b_text)) div {FIFTH} as int)"
     pairs = pairs.withColumn("dot", _dots(F.col("a_text"), F.col("b_text"), shared)).where("dot.dot >= dot.least - 1e-3")
     pairs = pairs.withColumn("distance", F.expr(f"levenshtein(a_text, b_text, {most})")).where(f"distance between 0 and {most}")
