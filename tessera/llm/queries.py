@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import conversations, overlap, packing, splits, splitting, tokenize, topn
+from tessera.llm import conversations, defects, overlap, packing, splits, splitting, stuffing, tokenize, topn
 from tessera.session import cut
 from tessera.sources.tables import table
 
@@ -43,6 +43,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_top(spark, d).select("parent_id", "hit_id")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects.defective(table(spark, d, "formal_answers"), table(spark, d, "tcm_qg_pairs"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.broken_documents(table(spark, d, "tcm_qg_pairs"), table(spark, d, "doc_links"), table(spark, d, "tcm_qg_documents"))
 
@@ -79,8 +83,16 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, d))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, d, "documents"))
+
+
+def p9_curves(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.judged(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p3_found, p3_top, p5_found, p5_splits, p5_shares, p6_found, p6_classes, p6_counts, p7_ids, p8_containers, p8_fill)}
+    return {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p3_found, p3_top, p4_found, p5_found, p5_splits, p5_shares, p6_found, p6_classes, p6_counts, p7_ids, p8_containers, p8_fill, p9_found, p9_curves)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,6 +8,7 @@ is then read closely: it is a case where more than half of its characters belong
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,14 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 #: Share of a page's characters that makes it a case.
 SHARE = 0.5
-#: Quantiles of prose beyond which a page is extreme, and those of the divergence.
-TAIL, DIVERGENT = 0.02, 0.75
+#: Quantile of prose beyond which a page's curve is extreme, and the least divergence that is.
+TAIL, DIVERGENT = 0.02, 0.06
 
-# Terms: words, and pairs of neighbours in scripts without spaces. \\p{IsHan} etc. are Java's names.
+# Terms: words, and pairs of neighbours in scripts without spaces. The names of scripts are Java's.
 _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
-TERM = rf"(?=([{_CJK}]{{2}}))|([A-Za-z\p{{IsLatin}}]+)"
+PAIR, WORD = rf"(?=([{_CJK}]{{2}}))", r"\p{IsLatin}+"
 
 # Classes of characters whose shares make a page's profile.
 CLASSES = {
@@ -59,10 +62,8 @@ def curves(pages: DataFrame, key: str) -> DataFrame:
     before they are ranked, so a page is as many rows as it has different terms. Pages with fewer than two kinds of terms
     have a slope of null.
     """
-    terms = F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))
-    pairs = F.regexp_extract_all(F.lower("text"), F.lit(rf"(?=([{_CJK}]{{2}}))"), F.lit(1))
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{IsLatin}+"), F.lit(0))
-    del terms
+    pairs = F.regexp_extract_all(F.lower("text"), F.lit(PAIR), F.lit(1))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
     each = pages.select(key, F.explode(F.concat(pairs, words)).alias("term"))
     counts = each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("f"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("f"), "term"))
@@ -120,9 +121,10 @@ MARKUP = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>|&[a-zA-Z]{2,8};|&#\d+;")
 PRICE = re.compile(r"[￥¥$€]\s?\d|\d\s?元|\d+(?:\.\d+)?\s?(?:g|kg|ml|克|斤)\s?[*×x]\s?\d", re.I)
 HASH = re.compile(r"[#＃][^#＃\s，。！？,!?]{1,16}[#＃]?")
 DOSE = re.compile(r"(?:[\d０-９]+(?:\.\d+)?|[一二三四五六七八九十半两几各]+)\s?(?:克|钱|两|分|枚|片|握|升|合|斤|g|ml|钱半)(?:半)?$", re.I)
-MARKED = re.compile(r"[。！？!?…]|[A-Za-z]{2}\.(?=\s|$)")
-SPLIT = re.compile(r"(?<=[。！？!?])|(?<=[A-Za-z]{2}\.)(?=\s)|[\r\n]+")
-ITEMS = re.compile(r"[,，、·;；|｜/\\\t　 ]+|\s[-–—>»]+\s|》|》")
+MARKED = re.compile(r"[。！？!?…]|[^\W\d_]\.(?=\s|$)")
+SPLIT = re.compile(r"(?<=[。！？!?])|(?<=[^\W\d_]\.)(?=\s)|[\r\n]+")
+ITEMS = re.compile(r"[,，、·;；|｜/\\\t　 ]+|\s[-–—>»]+\s")
+SPACED_ITEMS = re.compile(r"\s*[,，、·;；|｜/\\\t　]+\s*|\s[-–—>»]+\s|\s{2,}")
 LABEL = re.compile(r"^\s*(?:标签|关键词|关键字|热搜|相关搜索|友情链接|友链|链接|导航|tags?|keywords?|links?)\s*[:：]?", re.I)
 #: Ink of a run without any mark or blank, above which it is no clause of a script without spaces.
 RUN = 36
@@ -148,6 +150,7 @@ def _listed(items: list[str]) -> bool:
 
 def stuffed(text: str) -> tuple[int, int]:
     """(ink in keywords, links and tags; all ink) of a text."""
+    text = unicodedata.normalize("NFKC", text).replace("\u200b", "").replace("\ufeff", "")
     total = ink(text)
     bad = 0
     lines = [x for x in re.split(r"[\r\n]+", text) if x.strip()]
@@ -193,10 +196,14 @@ def _keywords(lines: list[str]) -> int:
             short.append(line)
             continue
         bad += close()
+        clauses = [x for x in (c.strip() for c in re.split(r"[。！？!?，,；;、]+", line)) if x]
+        if len(clauses) >= 8 and sum(map(len, clauses)) <= 14 * len(clauses) and _around_one(clauses):
+            bad += ink(line)
+            continue
         for s in sentences:
-            ended = bool(MARKED.search(s[-2:]))
+            ended = bool(MARKED.search(s.rstrip()[-3:]))
             body = LABEL.sub("", s)
-            items = [x.strip(" 。.！!？?：:“”\"'《》（）()") for x in ITEMS.split(body)]
+            items = [x.strip(" 。.！!？?：:“”\"'《》（）()") for x in (ITEMS if _wide(re.sub(r"[^\w]", "", body), 0.3) else SPACED_ITEMS).split(body)]
             items = [x for x in items if x]
             if not items:
                 continue
@@ -211,8 +218,8 @@ def _keywords(lines: list[str]) -> int:
     return bad + close()
 
 
-def _wide(x: str) -> bool:
-    return sum(c > "⹿" for c in x) > 0.8 * len(x)
+def _wide(x: str, share: float = 0.8) -> bool:
+    return sum(c > "⹿" for c in x) > share * len(x)
 
 
 def _repeats(items: list[str]) -> bool:
@@ -222,9 +229,12 @@ def _repeats(items: list[str]) -> bool:
 def _phrases(items: list[str]) -> bool:
     """Phrases said over and over, or all around one word."""
     kinds = Counter(items)
-    if len(kinds) <= 0.5 * len(items):
-        return True
-    pairs = Counter()
+    return len(kinds) <= 0.5 * len(items) or _around_one(items)
+
+
+def _around_one(items: list[str]) -> bool:
+    """One word stands in most of at least eight items."""
+    pairs: Counter = Counter()
     for x in items:
         words = x.lower().split() if x[0] <= "⹿" else [x[i : i + 2] for i in range(len(x) - 1)]
         pairs.update(set(words))
@@ -249,21 +259,41 @@ def judged(pages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return _judge(measured, prose_norms(measured)).withColumnRenamed("key", key)
 
 
-def _judge(measured: DataFrame, norms: DataFrame) -> DataFrame:
+def _extremes(measured: DataFrame, norms: DataFrame) -> DataFrame:
     both = measured.join(F.broadcast(norms), ["script", "size"], "left")
     d = both.withColumn("divergence", _divergence(F.col("shares"), F.col("norm")))
-    odd = (F.col("slope") < F.col("slope_low")) | (F.col("residual") > F.col("residual_high")) | (F.col("spread") < F.col("spread_low")) | (F.col("divergence") > 0.02)
-    d = d.withColumn("extreme", F.coalesce(odd, F.lit(True)))
-    kind = measured.schema["key"].dataType.simpleString()
-    read = d.where("extreme").select("key", "text").mapInArrow(_read, f"key {kind}, share double")
-    return d.select("key", "script", "size", "slope", "residual", "divergence", "extreme").join(read, "key", "left")
+    odd = (F.col("slope") < F.col("slope_low")) | (F.col("residual") > F.col("residual_high")) | (F.col("spread") < F.col("spread_low")) | (F.col("divergence") > DIVERGENT)
+    return d.withColumn("extreme", F.coalesce(odd, F.lit(True)))
 
 
-def stuffed_pages(pages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key): pages more than half of whose characters are keywords, links or tags. Cases as for judged."""
+def _read_extremes(extremes: DataFrame) -> DataFrame:
+    kind = extremes.schema["key"].dataType.simpleString()
+    return extremes.where("extreme").select("key", "text").mapInArrow(_read, f"key {kind}, share double")
+
+
+def _measured(pages: DataFrame, key: str, text: str) -> DataFrame:
     rows = pages.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    measured = measures(rows, "key")
-    norms = prose_norms(measured)
-    both = measured.join(F.broadcast(norms), ["script", "size"], "left").withColumn("divergence", _divergence(F.col("shares"), F.col("norm")))
-    del both
-    return judged(pages, key, text).where(F.col("share") > SHARE).select(key)
+    # one page a key, since the curve is that of a key's terms
+    return measures(rows.groupBy("key").agg(F.max("text").alias("text")), "key")
+
+
+def judged(pages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, script, size, slope, residual, divergence, extreme): every page with what it is judged by.
+
+    ``extreme`` says whether a measure lies outside the norms of prose of the same script and size, or has none to be held
+    against. Null and empty texts and null keys give no rows; of a repeated key the greatest text stands; an empty table
+    gives no rows. Extra columns aren't read.
+    """
+    measured = cut(_measured(pages, key, text).drop("terms", "kinds"))
+    found = _extremes(measured, prose_norms(measured))
+    return found.select(F.col("key").alias(key), "script", "size", F.round("slope", 6).alias("slope"), F.round("residual", 6).alias("residual"), F.round("divergence", 6).alias("divergence"), "extreme")
+
+
+def stuffed_pages(pages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key): pages more than half of whose characters are keywords, links or tags; only extreme pages are read.
+
+    Cases as for judged.
+    """
+    measured = cut(_measured(pages, key, text).drop("terms", "kinds"))
+    shares = _read_extremes(_extremes(measured, prose_norms(measured)))
+    return shares.where(F.col("share") > SHARE).select(F.col("key").alias(key))
