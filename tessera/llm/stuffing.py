@@ -21,7 +21,7 @@ from tessera.session import cut
 #: Share of a page's characters that makes it a case.
 SHARE = 0.5
 #: Quantile of prose beyond which a page's curve is extreme, and the least divergence that is.
-TAIL, DIVERGENT = 0.02, 0.06
+TAIL, DIVERGENT = 0.1, 0.06
 
 # Terms: words, and pairs of neighbours in scripts without spaces. The names of scripts are Java's.
 _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
@@ -56,7 +56,7 @@ def script(text: Column, n: Column) -> Column:
 
 
 def curves(pages: DataFrame, key: str) -> DataFrame:
-    """(key, terms, kinds, slope, residual): the line through log frequency over log rank of each page's terms.
+    """(key, terms, kinds, head, slope, residual): the line through log frequency over log rank of each page's terms.
 
     ``pages`` (key, text) is hashed by key once; counting and ranking stay in that partitioning. A page's terms are counted
     before they are ranked, so a page is as many rows as it has different terms. Pages with fewer than two kinds of terms
@@ -71,6 +71,7 @@ def curves(pages: DataFrame, key: str) -> DataFrame:
     return points.groupBy(key).agg(
         F.sum("f").alias("terms"),
         F.count(F.lit(1)).alias("kinds"),
+        (F.max("f") / F.sum("f")).alias("head"),
         F.expr("regr_slope(y, x)").alias("slope"),
         F.expr("sqrt(greatest((regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / nullif(regr_sxx(y, x), 0)) / count(1), 0))").alias("residual"),
     )
@@ -108,6 +109,7 @@ def prose_norms(measured: DataFrame) -> DataFrame:
         F.percentile_approx("slope", F.lit(TAIL), 1000).alias("slope_low"),
         F.percentile_approx("residual", F.lit(1 - TAIL), 1000).alias("residual_high"),
         F.percentile_approx("spread", F.lit(TAIL), 1000).alias("spread_low"),
+        F.percentile_approx("head", F.lit(1 - TAIL), 1000).alias("head_high"),
         F.count(F.lit(1)).alias("seen"),
     )
     return norms.where("seen >= 8")
@@ -262,7 +264,7 @@ def judged(pages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def _extremes(measured: DataFrame, norms: DataFrame) -> DataFrame:
     both = measured.join(F.broadcast(norms), ["script", "size"], "left")
     d = both.withColumn("divergence", _divergence(F.col("shares"), F.col("norm")))
-    odd = (F.col("slope") < F.col("slope_low")) | (F.col("residual") > F.col("residual_high")) | (F.col("spread") < F.col("spread_low")) | (F.col("divergence") > DIVERGENT)
+    odd = (F.col("slope") < F.col("slope_low")) | (F.col("residual") > F.col("residual_high")) | (F.col("spread") < F.col("spread_low")) | (F.col("head") > F.col("head_high")) | (F.col("divergence") > DIVERGENT)
     return d.withColumn("extreme", F.coalesce(odd, F.lit(True)))
 
 
