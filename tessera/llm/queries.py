@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.text import NARROW, WIDE
 from tessera.llm import conversations, defects, overlap, packing, splits, splitting, stuffing, tokenize, topn
 from tessera.session import cut
 from tessera.sources.tables import table
@@ -95,5 +96,49 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p3_found, p3_top, p4_found, p5_found, p5_splits, p5_shares, p6_found, p6_classes, p6_counts, p7_ids, p8_containers, p8_fill, p9_found, p9_curves)}
 
 
+_EDGE = r"[\s\p{Z}\p{Cc}\p{Cf}]"
+_INVISIBLE = r"[\s\p{Z}\p{Cc}\p{Cf}\x{034F}\x{115F}\x{1160}\x{2800}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}]*"
+
+_P1 = f"""with m0 as (select lower(trim(thread_id)) as thread_id, coalesce('m' || message_id, 'o' || ordinal || ':' || coalesce(content, '')) as same, * exclude (thread_id) from app_messages where thread_id is not null),
+m as (select * from m0 qualify row_number() over (partition by thread_id, same order by received_at, id) = 1),
+r as (select *, case when regexp_replace(lower(coalesce(role, '')), '{_EDGE}+', '', 'g') in ('user', 'human') then 'user' when regexp_replace(lower(coalesce(role, '')), '{_EDGE}+', '', 'g') in ('assistant', 'ai') then 'assistant'
+    when regexp_replace(lower(coalesce(role, '')), '{_EDGE}+', '', 'g') in ('system', 'tool') then trim(lower(role)) end as a,
+  case regexp_replace(lower(coalesce(type, '')), '{_EDGE}+', '', 'g') when 'human' then 'user' when 'ai' then 'assistant' when 'system' then 'system' when 'tool' then 'tool' end as b,
+  case json_type(content) when 'VARCHAR' then content->>'$' when 'OBJECT' then content->>'$.text' when 'ARRAY' then array_to_string(list_transform(from_json(content, '["json"]'), lambda x: coalesce(x->>'$.text', '')), '') end as text from m),
+w as (select *, case when a is null or b is null or a = b then coalesce(a, b) end as who from r),
+k as (select *, who is not null and who in ('user', 'assistant') and (tool_calls is null or regexp_replace(tool_calls, '\\s', '', 'g') in ('null', '[]', '')) and not regexp_full_match(coalesce(text, ''), '{_INVISIBLE}') as kept from w),
+o as (select thread_id, who, lag(who) over (partition by thread_id order by ordinal) as was, lead(who) over (partition by thread_id order by ordinal) as following from k where kept),
+f as (select thread_id, bool_or(was is null and who = 'assistant') as first_assistant, bool_or(who = 'user' and following is distinct from 'assistant') as missing from o group by 1),
+g as (select thread_id, count(*) as n, count(distinct ordinal) as d, min(ordinal) as lo, max(ordinal) as hi, bool_or(who is null) as unknown, count(*) filter (where kept) as kept from k group by 1),
+t as (select distinct lower(trim(thread_id)) as thread_id from app_threads where thread_id is not null),
+v as (select t.thread_id, case when coalesce(g.kept, 0) = 0 then 'empty' when lo <> 0 or hi <> n - 1 or d <> n or unknown or first_assistant then 'broken' when missing then 'missing_reply' end as reason from t left join g using (thread_id) left join f using (thread_id))
+"""
+
+_P3 = """with h as (select * from tcm_qg_hits where parent_id is not null and score is not null and not isnan(score) qualify row_number() over (partition by parent_id, qa_id, strategy, chunk_id order by score desc, rank, hit_id) = 1),
+p as (select *, row_number() over (partition by parent_id order by score desc, rank, hit_id) as place from h)
+"""
+
+
+def _clean(x: str) -> str:
+    return f"nullif(regexp_replace(lower(translate({x}, '{WIDE}', '{NARROW.replace(chr(39), chr(39) * 2)}')), '^{_EDGE}+|{_EDGE}+$', '', 'g'), '')"
+
+
+_P5 = f"""with recursive e0 as (select {_clean('source_doc_id')} as a, {_clean('linked_doc_id')} as b from doc_links), e as (select a, b from e0 where a is not null and b is not null union select b, a from e0 where a is not null and b is not null),
+reach(v, u) as (select v, v from (select a as v from e) union select r.v, e.b from reach r join e on e.a = r.u),
+g as (select v, min(u) as c from reach group by 1),
+r as (select {_clean('source_doc_id')} as doc, {_clean('split')} as now from tcm_qg_pairs),
+p as (select distinct doc, now, coalesce(g.c, doc) as c from r left join g on g.v = r.doc where doc is not null and now is not null),
+mixed as (select c from p group by 1 having count(distinct now) > 1)
+select distinct d.source_doc_id from tcm_qg_documents d join p on p.doc = {_clean('d.source_doc_id')} where p.c in (select c from mixed)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where SQL can say it. The others are tested against brute force, exact round trips and invariants."""
+    return {
+        "p1_found": _P1 + "select thread_id, reason from v where reason is not null",
+        "p1_conversations": _P1 + "select thread_id, (row_number() over (partition by thread_id order by ordinal) - 1)::int as turn, who as speaker, text from k where kept and thread_id in (select thread_id from v where reason is null)",
+        "p2_found": "select distinct 'parent' as item_kind, parent_id as item_id from evidence_parents, size_limits where item_kind = 'parent' and length(original_text) > max_chars union all select distinct 'chunk', chunk_id from retrieval_chunks, size_limits where item_kind = 'chunk' and length(text) > max_chars",
+        "p3_found": _P3 + "select parent_id, hit_id from p where place <= 5",
+        "p3_top": _P3 + "select parent_id, rank, hit_id, score, place::int as place from p where place <= 5",
+        "p5_found": _P5,
+    }
