@@ -24,6 +24,11 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return each.groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def server_idf(posts: DataFrame, n_docs: int) -> DataFrame:
+    """(term, idf) as search servers have it: never negative."""
+    return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", F.log1p((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+
+
 def idf(posts: DataFrame, n_docs: int) -> DataFrame:
     """(term, idf): negative values become a share of the mean over all terms."""
     raw = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", (F.ln(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
@@ -32,15 +37,18 @@ def idf(posts: DataFrame, n_docs: int) -> DataFrame:
     return raw.select("term", F.when(F.col("raw") < 0, F.lit(EPSILON * (mean or 0.0))).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, query_key: str, query_text: str, doc_key: str, doc_text: str) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, query_key: str, query_text: str, doc_key: str, doc_text: str, server: bool = False) -> DataFrame:
     """(query_key, doc_key, score) of every pair that shares a term; statistics are those of all documents.
 
     A join of postings on the term; documents without a common term have score 0 and no row. Terms that many documents have
-    are salted by document on both sides' behalf, so one term's postings are spread over tasks.
+    are salted by document on both sides' behalf, so one term's postings are spread over tasks. ``server``: the constants of
+    search servers, k1 = 1.2 and an idf that is never negative.
     """
+    k1 = 1.2 if server else K1
     posts = cut(postings(docs, doc_key, doc_text))
-    sizes = docs.select(F.count(F.lit(1)).alias("n"), F.avg(F.size(terms(F.col(doc_text)))).alias("avg")).first()
-    weights = idf(posts, sizes["n"])
+    n = docs.count()  # documents without a term count too
+    length = (posts.agg(F.sum("tf")).first()[0] or 0) / max(n, 1) or 1.0
+    weights = (server_idf if server else idf)(posts, n)
     asked = queries.select(query_key, F.explode(terms(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("qtf"))
     asked = asked.join(weights, "term")
     hot = [r[0] for r in hot_keys(posts, "term").collect()]
@@ -48,7 +56,7 @@ def bm25(queries: DataFrame, docs: DataFrame, query_key: str, query_text: str, d
     spread = F.when(F.col("term").isin(hot), F.pmod(F.xxhash64(doc_key), F.lit(salts))).otherwise(F.lit(0)).cast("int") if hot else F.lit(0)
     copies = F.when(F.col("term").isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
     both = posts.withColumn("salt", spread).join(asked.withColumn("salt", F.explode(copies)), ["term", "salt"])
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(sizes["avg"] or 1.0))))
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - B + B * F.col("dl") / F.lit(float(length))))
     return both.groupBy(query_key, doc_key).agg(F.sum(part).alias("score"))
 
 
@@ -62,3 +70,12 @@ def overlap_ratio(query_terms: Column, doc_terms: Column) -> Column:
     """Share of a query's different terms that a document has; 0 for a query without terms."""
     q = F.array_distinct(query_terms)
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, doc_terms)) / F.size(q)).otherwise(F.lit(0.0))
+
+
+def best_field(queries: DataFrame, docs: DataFrame, query_key: str, query_text: str, doc_key: str, boosts: dict[str, float]) -> DataFrame:
+    """(query_key, doc_key, score): the greatest boosted score of a document's fields, each field with its own statistics."""
+    parts = [bm25(queries, docs.where(F.col(f).isNotNull()), query_key, query_text, doc_key, f, server=True).withColumn("score", F.col("score") * b) for f, b in boosts.items()]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return both.groupBy(query_key, doc_key).agg(F.max("score").alias("score"))

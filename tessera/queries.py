@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.terms import chief_term, found_terms, rewrite, unsupported
 from tessera.functions.text import NARROW, WIDE, clean_id, squeeze, stable_id
-from tessera.operators import answers, catalog, chunking, dense, fusion, lexical, metrics, quality, sampling, stats
+from tessera.operators import answers, catalog, chunking, dense, fusion, lexical, metrics, quality, reviews, sampling, stats
 from tessera.operators.skew import salted_join
+from tessera.plans import retrieve
 from tessera.sources.tables import table
 from tessera.streaming import trace
 
@@ -163,6 +164,63 @@ def parent_recovery(spark, d):
     return fusion.recover_parents(hits, docs, 5).select("qa_id", "parent_id", "chunk_id", _long("parent_rank"), _long("chars"))
 
 
+_FIELDS = {"original_text": 3.0, "chapter": 2.0, "section": 2.0, "book_title": 1.0}
+
+
+def _field_sql() -> str:
+    parts = []
+    for f, b in _FIELDS.items():
+        parts.append(f"""select answer_id, parent_id, {b} * sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) as score from
+  (select answer_id, term, count(*) as qtf from (select answer_id, unnest({_TERMS.format('q')}) as term from asked where q is not null) group by all)
+  join (select parent_id, term, count(*) as tf from (select parent_id, unnest({_TERMS.format('t')}) as term from (select parent_id, lower({f}) as t from par where {f} is not null)) group by all) using (term)
+  join (select term, count(distinct parent_id) as df from (select parent_id, unnest({_TERMS.format('t')}) as term from (select parent_id, lower({f}) as t from par where {f} is not null)) group by 1) using (term)
+  join (select parent_id, len({_TERMS.format('t')}) as dl from (select parent_id, lower({f}) as t from par where {f} is not null)) using (parent_id),
+  (select count(*) as n, avg(len({_TERMS.format('t')})) as avgdl from (select lower({f}) as t from par where {f} is not null)) group by all""")
+    return f"""with {_PAIRS}, {_ANSWERS}, asked as (select a.answer_id, lower(p.question) as q from answers a join pairs p using (qa_id) where a.answer_id % 20 = 0),
+par as (select * from evidence_parents where parent_id is not null qualify row_number() over (partition by parent_id order by loaded_at desc) = 1),
+s as (select answer_id, parent_id, max(score) as score from ({' union all '.join(parts)}) group by all)
+select answer_id, parent_id, rank, round(score, 6) as score from (select *, row_number() over (partition by answer_id order by round(score, 9) desc, parent_id) as rank from s) where rank <= 10"""
+
+
+@query(_field_sql())
+def field_boost_keyword(spark, d):
+    parents = catalog.latest(table(spark, d, "evidence_parents", "parent_id", *_FIELDS, "loaded_at"), ["parent_id"], "loaded_at")
+    top = lexical.top_k(lexical.best_field(_asked(spark, d), parents, "answer_id", "question", "parent_id", _FIELDS), "answer_id", 10, F.desc(F.round("score", 9)), F.col("parent_id"))
+    return top.select("answer_id", "parent_id", _long("rank"), F.round("score", 6).alias("score"))
+
+
+_MODES_SQL = f"""with {_LISTS}, c as (select qa_id, chunk_id, bm25_score as lexical, overlap_score as dense, score from lists where strategy = 'child'),
+a as (select qa_id, chunk_id, lexical as base, row_number() over (partition by qa_id order by lexical desc, chunk_id) as place from c where lexical is not null and not isnan(lexical) qualify place <= 20),
+b as (select qa_id, chunk_id, dense as base, row_number() over (partition by qa_id order by dense desc, chunk_id) as place from c where dense is not null and not isnan(dense) qualify place <= 20),
+h0 as (select qa_id, chunk_id, sum(1.0::double / (60 + place)) as base from (select * from a union all select * from b) group by all),
+h as (select *, row_number() over (partition by qa_id order by round(base, 12) desc, chunk_id) as place from h0),
+l as (select 'bm25' as mode, qa_id, chunk_id, base, place from a union all select 'dense', qa_id, chunk_id, base, place from b union all select 'hybrid', qa_id, chunk_id, base, place from h),
+r as (select mode || '_rerank' as mode, l.qa_id, l.chunk_id, row_number() over (partition by mode, l.qa_id order by c.score desc nulls last, base desc, l.chunk_id) as place from l left join c using (qa_id, chunk_id) where place <= 40)
+select qa_id, mode, chunk_id, place from l where place <= 10 union all select qa_id, mode, chunk_id, place from r where place <= 10"""
+
+
+@query(_MODES_SQL)
+def retrieval_modes(spark, d):
+    child = _lists(spark, d).where("strategy = 'child'")
+    candidates = child.select("qa_id", "chunk_id", F.col("bm25_score").alias("lexical"), F.col("overlap_score").alias("dense"))
+    scores = child.select("qa_id", "chunk_id", F.col("score").alias("rerank_score"))
+    return retrieve.matrix(candidates, scores, 10).withColumn("place", _long("place"))
+
+
+@query(f"""with v as (select unnest({SYMPTOMS!r}) as symptom), dt as (select doc_id, symptom_tags, {_TERMS.format('t')} as terms from (select doc_id, symptom_tags, coalesce(lower(text), '') as t from documents)),
+n as (select count(*) as n, avg(len(terms)) as avgdl from dt), tf as (select doc_id, len(any_value(terms)) as dl, term, count(*) as tf from (select doc_id, terms, unnest(terms) as term from dt) group by doc_id, term),
+raw as (select term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) as raw from tf, n group by term, n), idf as (select term, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw),
+s as (select symptom, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) as score from v join idf on idf.term = v.symptom join tf using (term), n group by all)
+select symptom, doc_id, rank, round(score, 6) as score from (select s.*, row_number() over (partition by symptom order by round(score, 9) desc, doc_id) as rank from s join dt using (doc_id) where list_contains(symptom_tags, symptom)) where rank <= 10""")
+def eligible_after_scoring(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "text", "symptom_tags")
+    asked = spark.createDataFrame([(s,) for s in SYMPTOMS], "symptom string").withColumn("q", F.col("symptom"))
+    scored = lexical.bm25(asked, docs, "symptom", "q", "doc_id", "text")  # statistics of all documents, the tag only afterwards
+    ok = scored.join(docs.select("doc_id", "symptom_tags"), "doc_id").where(F.array_contains("symptom_tags", F.col("symptom")))
+    top = lexical.top_k(ok, "symptom", 10, F.desc(F.round("score", 9)), F.col("doc_id"))
+    return top.select("symptom", "doc_id", _long("rank"), F.round("score", 6).alias("score"))
+
+
 # ---- metrics ----
 
 _EACH = f"""with {_QUESTIONS}, {_LISTS}, f as (select l.qa_id, l.strategy, q.split, min(case when l.hit_doc = q.doc then place end) as pos from lists l join questions q using (qa_id) group by all),
@@ -452,6 +510,42 @@ def dq_vectors(spark, d):
     return v.agg(F.count(F.lit(1)).alias("vectors"), F.count_if(quality.unsound_vector(F.col("embedding"))).alias("unsound"), F.min(F.size("embedding")).cast("long").alias("least"), F.max(F.size("embedding")).cast("long").alias("most"))
 
 
+
+@query(f"""with {_QUESTIONS}, p as (select q.doc, p.answer_start, p.question, p.answer, p.review_status, p.qa_id, p.loaded_at from pairs p join questions q using (qa_id) where q.doc is not null),
+o as (select doc, answer_start, count(*) as n, min(question) as question, min(answer) as answer, min(review_status) as review_status from p where loaded_at < timestamptz '2025-10-01 00:00:00+00' group by 1, 2),
+w as (select *, count(*) over (partition by doc, answer_start) as m from p)
+select w.qa_id, case when o.n is null then 'added' when o.n > 1 or w.m > 1 then 'ambiguous' when w.question is not distinct from o.question and w.answer is not distinct from o.answer then 'inherited' else 'changed' end as outcome,
+  case when o.n = 1 and w.m = 1 and w.question is not distinct from o.question and w.answer is not distinct from o.answer then o.review_status end as review_status from w left join o using (doc, answer_start)""")
+def review_migration(spark, d):
+    p = _pairs(spark, d).withColumn("doc", clean_id(F.col("source_doc_id"))).where("doc is not null").select("qa_id", "doc", "answer_start", "question", "answer", "review_status", "loaded_at")
+    earlier = p.where("loaded_at < timestamp '2025-10-01 00:00:00'").drop("qa_id")  # the round of that day
+    return reviews.migrate(earlier, p, ["doc", "answer_start"], ["question", "answer"], ["review_status"]).select("qa_id", "outcome", "review_status")
+
+
+@query(f"""with {_PAIRS}, e as (select * from tcm_qg_pairs where qa_id is not null qualify row_number() over (partition by qa_id order by loaded_at) = 1)
+select e.qa_id, 'answer' as "column" from e join pairs p using (qa_id) where e.answer is distinct from p.answer union all select e.qa_id, 'question' from e join pairs p using (qa_id) where e.question is distinct from p.question""")
+def altered_cells(spark, d):
+    first = Window.partitionBy("qa_id").orderBy("loaded_at")
+    earliest = table(spark, d, "tcm_qg_pairs").where("qa_id is not null").withColumn("i", F.row_number().over(first)).where("i = 1")
+    return reviews.altered(earliest, _pairs(spark, d), "qa_id", ["answer", "question"])
+
+
+@query(_EACH + """, m as (select avg(recall_5) as recall_5, avg(mrr_10) as mrr_10, avg(ndcg_10) as ndcg_10 from each_ where strategy = 'child')
+select 'recall_5' as rule, recall_5 as value, recall_5 >= 0.3 as passed from m union all select 'mrr_10', mrr_10, mrr_10 > 0.5 from m union all select 'ndcg_10', ndcg_10, ndcg_10 <= 1 from m""".replace("recall_5 as value", "round(recall_5, 6) as value").replace("'mrr_10', mrr_10,", "'mrr_10', round(mrr_10, 6),").replace("'ndcg_10', ndcg_10,", "'ndcg_10', round(ndcg_10, 6),"))
+def success_gate(spark, d):
+    each = metrics.per_question(_lists(spark, d), _questions(spark, d)).where("strategy = 'child'")
+    figures = each.agg(*[F.avg(m).alias(m) for m in ("recall_5", "mrr_10", "ndcg_10")])
+    return reviews.gate(figures, {"recall_5": (">=", 0.3), "mrr_10": (">", 0.5), "ndcg_10": ("<=", 1.0)}).withColumn("value", F.round("value", 6))
+
+
+@query(f"with {_QUESTIONS}, g as (select split, count(*) as got from questions where split is not null group by 1), w as (select split, round_even(share * (select sum(got) from g), 0)::bigint as wanted from split_plan) select split, coalesce(wanted, 0) as wanted, coalesce(got, 0) as got from w full join g using (split) where coalesce(wanted, 0) <> coalesce(got, 0)")
+def quota_gaps(spark, d):
+    q = _questions(spark, d).where("split is not null")
+    total = q.agg(F.count(F.lit(1)).alias("total")).withColumn("k", F.lit(1))
+    plan = table(spark, d, "split_plan").withColumn("k", F.lit(1)).join(F.broadcast(total), "k").select("split", F.bround(F.col("share") * F.col("total")).cast("long").alias("wanted"))
+    return reviews.quota_gaps(q, plan, ["split"])
+
+
 # ---- ids, order, latest rows ----
 
 
