@@ -58,7 +58,7 @@ def script(text: Column, n: Column) -> Column:
 def curves(pages: DataFrame, key: str) -> DataFrame:
     """(key, terms, kinds, head, slope, residual): the line through log frequency over log rank of each page's terms.
 
-    ``pages`` (key, text) is hashed by key once; counting and ranking stay in that partitioning. A page's terms are counted
+    ``pages`` (key, text) comes grouped by key; counting and ranking stay in that partitioning. A page's terms are counted
     before they are ranked, so a page is as many rows as it has different terms. Pages with fewer than two kinds of terms
     have a slope of null.
     """
@@ -85,9 +85,8 @@ def measures(pages: DataFrame, key: str) -> DataFrame:
     n = F.length("text").cast("double")
     wide = pages.select(key, "text", n.alias("n")).where("n > 0")
     wide = wide.select(key, "text", "n", script(F.col("text"), F.col("n")).alias("script"), F.floor(F.log2("n")).cast("int").alias("size"), profile(F.col("text"), F.col("n")).alias("shares"))
-    by_key = wide.repartition(key)
-    fits = curves(by_key.select(key, "text"), key)
-    return by_key.join(fits, key, "left").withColumn("spread", F.col("kinds") / F.col("terms"))
+    fits = curves(wide.select(key, "text"), key)
+    return wide.join(fits.hint("merge"), key, "left").withColumn("spread", F.col("kinds") / F.col("terms"))
 
 
 def _divergence(a: Column, b: Column) -> Column:
