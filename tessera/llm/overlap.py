@@ -87,6 +87,9 @@ def _signature(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 #: Texts longer than this carry counts of the characters on either side of each term, and themselves: with many characters
 #: of few kinds, as in alphabets, the parity signature tells little, and candidates would be many.
 LONG = 64
+#: Texts longer than this don't carry themselves: a list would hold them as often as they have terms. They are fetched as
+#: candidates, and their terms are chosen one from each of equal stretches instead of by dynamic programming.
+CARRIED = 1000
 SIDES = [f"{side}{k}" for side in "lr" for k in range(4)]
 
 
@@ -126,9 +129,13 @@ def _by_length(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
 
 
 def rarest_disjoint(cost: np.ndarray, q: int, k: int) -> np.ndarray:
-    """Starts of the k disjoint windows of length q with the least total cost, for each row: dynamic programming."""
+    """Starts of k disjoint windows of length q for each row: those with the least total cost, by dynamic programming; in long
+    texts the cheapest of each of k equal stretches."""
     n, starts = cost.shape
     length = starts + q - 1
+    if length > CARRIED:
+        edges = np.arange(k + 1) * length // k
+        return np.stack([lo + np.argmin(cost[:, lo : hi - q + 1], axis=1) for lo, hi in zip(edges, edges[1:])], axis=1).astype(np.int32)
     best = np.full((length + 1, k + 1, n), np.inf, dtype=np.float32)
     best[:, 0] = 0
     for i in range(q, length + 1):
@@ -201,7 +208,7 @@ def _postings(it: Iterator[pa.RecordBatch], cells, index: bool) -> Iterator[pa.R
                             pa.array(rep(sig1).view(np.int64)),
                             pa.array(rep(sig2).view(np.int64)),
                             *[pa.array(np.ascontiguousarray(w[on]).ravel()) for w in around],
-                            pa.array([texts[i] for i in some[on] for _ in range(width)], pa.string()) if length > LONG else pa.nulls(len(on) * width, pa.string()),
+                            pa.array([texts[i] for i in some[on] for _ in range(width)], pa.string()) if LONG < length <= CARRIED else pa.nulls(len(on) * width, pa.string()),
                         ],
                         names=["term", "id", "length", "at", "nth", "sig1", "sig2", *SIDES, "own"],
                     )
@@ -261,7 +268,7 @@ def near_texts(texts: DataFrame) -> DataFrame:
     # most so many edits lie on its left as terms do, the rest on its right; edits on a side bound the shift on that side
     left, right = F.col("x.nth"), d - F.col("x.nth")
     near = (delta <= 0) & (-delta <= d) & (F.abs(shift) <= left) & (F.abs(delta - shift) <= right) & (flips <= 2 * d)
-    near &= (F.col("y.length") <= LONG) | ((_bits("l") <= 2 * left) & (_bits("r") <= 2 * right) & F.expr(_AROUND))
+    near &= (F.col("y.length") <= LONG) | ((_bits("l") <= 2 * left) & (_bits("r") <= 2 * right) & (F.col("x.own").isNull() | F.col("y.own").isNull() | F.expr(_AROUND)))
     # sizes of what Python yields are guessed too low, so no side may be broadcast on a guess
     ids = lists.join(probes.hint("merge"), (F.col("x.term") == F.col("y.term")) & near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     one, two = t.select(F.col("id").alias("a"), F.col("text").alias("a_text"), F.col("train").alias("a_train"), F.col("eval").alias("a_eval")), t.select(F.col("id").alias("b"), F.col("text").alias("b_text"), F.col("train").alias("b_train"), F.col("eval").alias("b_eval"))

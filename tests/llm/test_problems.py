@@ -253,6 +253,8 @@ def test_overlap_against_brute_force(spark):
                     for e in {0, n // 5, n // 5 + 1, n // 10}:
                         rows.append((f"q{len(rows):04}", split, "sd1", mutated(rng, base, e, alphabet)))
     rows += [("qx", "dev", None, None), ("qy", "train_pool", None, " ，。"), ("qz", None, None, rows[0][3]), (None, "dev", "s", rows[0][3]), ("q0000", "dev", "s", rows[0][3]), ("w1", "train_pool", "s", "ＡＢ，c d E f g h"), ("w2", "dev", "s", "abcdefgh")]
+    base = "".join(rng.choices(han, k=1500))
+    rows += [("l1", "train_pool", "s", base), ("l2", "dev", "s", mutated(rng, base, 290, han)), ("l3", "dev", "s", mutated(rng, base, 320, latin) + "a" * 400), ("l4", "test", "s", base[:1250])]
     rows += rows[:5]
     df = spark.createDataFrame([(*r, 3) for r in rows], "qa_id string, split string, source_doc_id string, question string, text int")
     fold = lambda s: "".join(c for c in unicodedata.normalize("NFKC", s or "").lower() if unicodedata.category(c)[0] in "LN")
