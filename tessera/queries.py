@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import records
 from tessera.functions.terms import chief_term, found_terms, rewrite, unsupported
 from tessera.functions.text import NARROW, WIDE, clean_id, squeeze, stable_id
-from tessera.operators import answers, catalog, chunking, dense, fusion, lexical, metrics, quality, reviews, sampling, stats
+from tessera.operators import answers, catalog, chunking, dense, fusion, lexical, metrics, quality, ranges, reviews, sampling, stats
 from tessera.operators.skew import salted_join
 from tessera.plans import retrieve
 from tessera.sources.tables import table
@@ -432,6 +433,28 @@ def tagged_sections(spark, d):
     return docs.select("doc_id", F.regexp_extract("text", r"^<篇名>([^\n\r]*)", 1).alias("title"), F.length(F.regexp_replace("text", r"^<篇名>[^\n\r]*", "")).cast("long").alias("body_chars"))
 
 
+
+@query(f"""with w as ({_WINDOWS}), a as (select doc_id, chunk_no, start_index as s, start_index + char_count as e from w where strategy = 'b4'), b as (select doc_id, chunk_no, start_index as s, start_index + char_count as e from w where strategy = 'child')
+select a.doc_id, a.chunk_no, count(*) as children, min(b.chunk_no) as first_child, max(b.chunk_no) as last_child from a join b on a.doc_id = b.doc_id and b.s < a.e and b.e > a.s group by all""")
+def chunk_span_sources(spark, d):
+    w = _windows(spark, d).withColumn("end", F.col("start_index") + F.col("char_count"))
+    a = w.where("strategy = 'b4'").select("doc_id", "chunk_no", F.col("start_index").alias("a_start"), F.col("end").alias("a_end"))
+    b = w.where("strategy = 'child'").select("doc_id", F.col("chunk_no").alias("child"), F.col("start_index").alias("b_start"), F.col("end").alias("b_end"))
+    both = ranges.overlapping(a, b, "doc_id")
+    return both.groupBy("doc_id", "chunk_no").agg(F.count(F.lit(1)).alias("children"), F.min("child").alias("first_child"), F.max("child").alias("last_child"))
+
+
+@query("select key, count(*) as n from (select unnest(json_keys(props)) as key from events where props is not null) group by 1")
+def json_props(spark, d):
+    keys = table(spark, d, "events", "props").where("props is not null").select(F.explode(F.json_object_keys("props")).alias("key"))
+    return keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select id, case lower(trim(type)) when 'human' then 'user' when 'ai' then 'assistant' else lower(trim(type)) end as speaker, count(*) as n from app_messages where type is not null group by all")
+def message_roles(spark, d):
+    return table(spark, d, "app_messages", "id", "type").where("type is not null").groupBy("id", records.message_role(F.col("type")).alias("speaker")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- sampling ----
 
 
