@@ -7,6 +7,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -240,7 +241,7 @@ def ended_before(text: str) -> bool:
 
 NUMBERED = re.compile(r"^\s*(?:\d{1,3}\s*[.、)）]|[（(]\d{1,3}[)）]|[-*•])\s*")
 #: Cells of the tables of habits: what comes to the driver and goes to the tasks has this many rows, whatever the input.
-CELLS = 1 << 16
+CELLS = 1 << 18
 
 
 def _cell(kind: str, key: str) -> int:
@@ -278,16 +279,19 @@ def observe(text: str, table: dict[int, list[int]]) -> None:
 class Habits:
     """How sentences open and where clauses end in the whole corpus, in a fixed number of cells."""
 
-    def __init__(self, table: dict[int, list[int]], least: int = 20) -> None:
+    def __init__(self, table: np.ndarray, least: int = 20) -> None:
         self.table, self.least = table, least
 
     def share(self, kind: str, key: str) -> float | None:
-        yes, n = self.table.get(_cell(kind, key), (0, 0))
-        return yes / n if n >= self.least else None
+        yes, n = self.table[_cell(kind, key)]
+        return float(yes) / float(n) if n >= self.least else None
 
     def usually_ended(self, sentence: str) -> bool:
         if len(letters(sentence)[0]) < 10:
             return False  # a phrase may well be a whole answer
+        bare = sentence.strip()
+        if (self.share("t", endings(bare, len(bare))[0]) or 0) >= 0.9:
+            return False  # these characters are always the last of a clause
         share = self.share("o", opening(sentence))
         return share is not None and share >= 0.8
 
@@ -295,12 +299,9 @@ class Habits:
         """Whether after the last characters of a text a clause hardly ever ends."""
         if not text or text[-1] <= "\u2e7f":
             return False
-        two, one = endings(text, len(text))
-        for kind, key in (("t", two), ("c", one)):
-            share = self.share(kind, key)
-            if share is not None:
-                return share < 0.08
-        return False
+        two, one = (self.share(kind, key) for kind, key in zip("tc", endings(text, len(text))))
+        # a character that hardly ever ends a clause, and not in this pair either: cut texts themselves count among the pairs
+        return one is not None and one < 0.03 and (two is None or two < 0.3)
 
 
 def defect(answer: str | None, question: str | None, habits: Habits | None = None) -> str | None:
@@ -346,10 +347,17 @@ def _observed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array([table[c][0] for c in cells], pa.int64()), pa.array([table[c][1] for c in cells], pa.int64())], names=["cell", "yes", "n"])
 
 
-def habits_of(texts: DataFrame, text: str) -> dict[int, list[int]]:
+def table_of(counts: dict[int, list[int]]) -> np.ndarray:
+    table = np.zeros((CELLS, 2), dtype=np.int64)
+    for cell, pair in counts.items():
+        table[cell] = pair
+    return table
+
+
+def habits_of(texts: DataFrame, text: str) -> np.ndarray:
     """The table of habits over all texts; at most CELLS rows come to the driver."""
     rows = texts.select(text).mapInArrow(_observed, "cell int, yes long, n long").groupBy("cell").agg(F.sum("yes").alias("yes"), F.sum("n").alias("n"))
-    return {int(c): [int(y), int(n)] for c, y, n in rows.toPandas().itertuples(index=False)}
+    return table_of({int(c): [int(y), int(n)] for c, y, n in rows.toPandas().itertuples(index=False)})
 
 
 def _judged(it: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
