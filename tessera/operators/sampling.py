@@ -27,21 +27,26 @@ def round_robin(rows: DataFrame, group: str, key: str, count: int, seed: str) ->
     return first.withColumn("n", F.row_number().over(across))
 
 
-def share_split(ids: DataFrame, key: str, dev: float, test: float, seed: str) -> DataFrame:
-    """(key, split): ids in the order of their lots, the first round(n dev) to dev, the next round(n test) to test, the rest to
-    train_pool; halves round to even. Ids are distinct and not null.
+def numbered_by_lot(ids: DataFrame, key: str, seed: str) -> DataFrame:
+    """(key, i, total): different ids numbered from 1 in the order of their lots, and how many there are.
 
     The place in the order comes from counts of ranges of lots and a rank inside the range, not from one sorted task.
     """
     one = ids.where(F.col(key).isNotNull()).select(key).distinct().withColumn("lot", lot(seed, F.col(key)))
-    one = one.withColumn("range", F.substring("lot", 1, 2))
-    counts = one.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # 256 rows
+    one = one.withColumn("range", F.substring("lot", 1, 3))
+    counts = one.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # 4,096 rows
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("total"))
-    placed = one.withColumn("i", F.row_number().over(Window.partitionBy("range").orderBy("lot", key))).join(F.broadcast(offsets), "range")
-    at = F.col("i") + F.col("offset")
+    placed = one.withColumn("at", F.row_number().over(Window.partitionBy("range").orderBy("lot", key))).join(F.broadcast(offsets), "range")
+    return placed.select(key, (F.col("at") + F.col("offset")).alias("i"), "total")
+
+
+def share_split(ids: DataFrame, key: str, dev: float, test: float, seed: str) -> DataFrame:
+    """(key, split): ids in the order of their lots, the first round(n dev) to dev, the next round(n test) to test, the rest to
+    train_pool; halves round to even. Repeated ids count once, null ids fall out."""
     a, b = F.bround(F.col("total") * dev), F.bround(F.col("total") * test)
-    return placed.select(key, F.when(at <= a, "dev").when(at <= a + b, "test").otherwise("train_pool").alias("split"))
+    at = F.col("i")
+    return numbered_by_lot(ids, key, seed).select(key, F.when(at <= a, "dev").when(at <= a + b, "test").otherwise("train_pool").alias("split"))
 
 
 def alternate(rows: DataFrame, strata: list[str], key: str, seed: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.sampling import numbered_by_lot
+
 
 def nearest_rank(column: str, p: float) -> Column:
     """The value at position ceil(p n) of the sorted values."""
@@ -73,8 +75,8 @@ def cluster_bootstrap(deltas: DataFrame, cluster: str, delta: str, resamples: in
     result doesn't depend on partitions. Draws meet clusters by an equi-join on the drawn number.
     """
     parts = deltas.groupBy(cluster).agg(F.sum(delta).alias("s"), F.count(delta).alias("c"))
-    numbered = parts.withColumn("i", F.row_number().over(Window.orderBy(cluster)) - 1)
-    n = numbered.agg(F.count(F.lit(1)).alias("n")).first()[0]
+    n = parts.count()
+    numbered = parts.join(numbered_by_lot(parts, cluster, seed).select(cluster, (F.col("i") - 1).alias("i")), cluster)
     mean = parts.agg((F.sum("s") / F.sum("c")).alias("delta"))
     if not n:
         return mean.select(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("delta"), F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"))

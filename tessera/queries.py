@@ -365,7 +365,7 @@ _RESAMPLES = 200
 
 
 @query(_EACH.rstrip() + f""", p as (select q.doc, a.mrr_10 - b.mrr_10 as delta from each_ a join each_ b using (qa_id) join questions q using (qa_id) where a.strategy = 'child' and b.strategy = 'b4' and q.doc is not null),
-c as (select doc, sum(delta) as s, count(delta) as c, row_number() over (order by doc) - 1 as i from p group by 1), n as (select count(*) as n from c),
+c as (select doc, sum(delta) as s, count(delta) as c, row_number() over (order by sha256('boot:' || doc), doc) - 1 as i from p group by 1), n as (select count(*) as n from c),
 d as (select r, ('0x' || substr(sha256('boot:' || r || ':' || k), 1, 12))::bigint % n as i from n, range({_RESAMPLES}) t(r), range(n) u(k)),
 m as (select r, sum(s) / sum(c) as m from d join c using (i) group by 1), o as (select m, row_number() over (order by round(m, 12), r) - 1 as k from m)
 select (select n from n) as n, round((select sum(s) / sum(c) from c), 6) as delta, round((select m from o where k = {int(0.025 * _RESAMPLES)}), 6) as lower, round((select m from o where k = {int(0.975 * _RESAMPLES) - 1}), 6) as upper""")
