@@ -361,7 +361,8 @@ def calibrate_threshold(spark, d):
     return stats.calibrate(r.select("score", (F.col("hit_doc") == F.col("doc")).alias("good")), "score", "good")
 
 
-_RESAMPLES = 200
+# as in every production configuration of the reference (bootstrap_resamples)
+_RESAMPLES = 10_000
 
 
 @query(_EACH.rstrip() + f""", p as (select q.doc, a.mrr_10 - b.mrr_10 as delta from each_ a join each_ b using (qa_id) join questions q using (qa_id) where a.strategy = 'child' and b.strategy = 'b4' and q.doc is not null),

@@ -1,5 +1,6 @@
 """Operators on small tables whose results are known by hand or by a brute-force version."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -156,6 +157,30 @@ def test_bootstrap_of_equal_methods_is_zero(spark):
     assert stats.cluster_bootstrap(d.limit(0), "doc", "delta", 50, "s").first().n == 0
 
 
+def test_bootstrap_takes_all_production_resamples(spark):
+    import inspect
+
+    from tessera import queries
+
+    assert queries._RESAMPLES == 10_000 and "_RESAMPLES" in inspect.getsource(queries.cluster_bootstrap)
+    rng = random.Random(3)
+    deltas = [(f"d{rng.randrange(12)}", rng.random() - 0.4) for _ in range(60)]
+    by: dict = {}
+    for doc, x in deltas:
+        s, c = by.get(doc, (0.0, 0))
+        by[doc] = s + x, c + 1
+    docs = sorted(by, key=lambda d: (hashlib.sha256(f"b:{d}".encode()).hexdigest(), d))
+    means = []
+    for r in range(10_000):
+        drawn = [by[docs[int(hashlib.sha256(f"b:{r}:{k}".encode()).hexdigest()[:12], 16) % len(docs)]] for k in range(len(docs))]
+        means.append(sum(s for s, _ in drawn) / sum(c for _, c in drawn))
+    means.sort()
+    df = spark.createDataFrame(deltas, "doc string, delta double").repartition(3)
+    got = stats.cluster_bootstrap(df, "doc", "delta", 10_000, "b").first()
+    assert got.n == len(docs)
+    assert (got.lower, got.upper) == pytest.approx((means[250], means[9749]), abs=1e-6)
+
+
 def test_split_shares_and_samples_repeat(spark):
     ids = spark.range(1000).select(F.col("id").cast("string").alias("doc"))
     a = sampling.share_split(ids, "doc", 0.1, 0.15, "s")
