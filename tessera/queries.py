@@ -658,7 +658,7 @@ def visible_messages(spark, d):
 
 @query("select run_id, event_key, event from (select run_id, 'tool_call:' || (c->>'id') || ':' || (c->>'name') as event_key, 'tool_call' as event from (select run_id, unnest(from_json(tool_calls, '[\"json\"]')) as c from app_messages where tool_calls is not null and tool_calls <> 'null') union all select run_id, 'tool_result:' || coalesce(name, '') || ':' || substr(md5(substr(content, 1, 500)), 1, 8), 'tool_result' from app_messages where lower(trim(type)) = 'tool') group by all")
 def trace_dedup(spark, d):
-    return trace.distinct_events(table(spark, d, "app_messages", "run_id", "tool_calls", "type", "content", "name"))
+    return trace.distinct_events(table(spark, d, "app_messages", "run_id", "thread_id", "ordinal", "tool_calls", "type", "content", "name")).select("run_id", "event_key", "event")
 
 
 @query("select thread_id, status from (select thread_id, status, row_number() over (partition by thread_id order by updated_at desc, status desc) as i from app_threads where thread_id is not null and status is not null) where i = 1")
