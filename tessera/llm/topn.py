@@ -53,6 +53,11 @@ def _open(uri: str):
     return pq.ParquetFile(fs.open_input_file(inner))
 
 
+def _placing(x: tuple) -> tuple:
+    """The order of rows (low, *ties, same1, same2): higher scores first, then smaller ties, null last."""
+    return x[0], *[(v is None, v) for v in x[1:-2]]
+
+
 class _Best:
     """The best rows so far of each group of one file."""
 
@@ -75,25 +80,29 @@ class _Best:
 
     def _merge(self, g: str, rows: dict, lo: int, hi: int) -> None:
         kept = self.parts.setdefault(g, [])
-        seen = {x[-2:] for x in kept}
+        at = {x[-2:]: i for i, x in enumerate(kept)}
         step = max(2 * self.n, 16)
-        added = False
-        # rows of a group lie in falling order inside a row group: those after the first N different ones can't matter
-        fresh = 0
+        changed = False
+        # rows of a group lie in placing order inside a row group: those after the first N different ones can't matter
+        passed = set()
         for a in range(lo, hi, step):
             b = min(hi, a + step)
             for x in zip(*[rows[c].slice(a, b - a).to_pylist() for c in rows]):
-                if x[-2:] not in seen:
-                    seen.add(x[-2:])
+                # a row group read earlier may hold a worse placed copy, so copies are compared
+                if x[-2:] not in at:
+                    at[x[-2:]] = len(kept)
                     kept.append(x)
-                    fresh += 1
-                    added = True
-                if fresh >= self.n:
+                    changed = True
+                elif _placing(x) < _placing(kept[at[x[-2:]]]):
+                    kept[at[x[-2:]]] = x
+                    changed = True
+                passed.add(x[-2:])
+                if len(passed) >= self.n:
                     break
-            if fresh >= self.n:
+            if len(passed) >= self.n:
                 break
-        if added:
-            kept.sort(key=lambda x: (x[0], *[(v is None, v) for v in x[1:-2]]))
+        if changed:
+            kept.sort(key=_placing)
             del kept[self.n :]
         if len(kept) == self.n:
             self.nth[g] = kept[-1][0]

@@ -137,6 +137,18 @@ def test_row_groups_of_a_crowded_group_are_skipped(tmp_path):
     assert (read, skipped) == (1, 19) and [x[1] for x in best.parts["hot"]] == [0, 1, 2]
 
 
+def test_the_best_copy_stands_though_its_row_group_is_read_later(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    # the boundary of row groups lies between a hit and its copy, and the later row group also holds a higher score of another group
+    t = pa.table({"g": ["a", "a", "a", "b"], "low": [-2.0, -1.0, -1.0, -9.0], "t0": [5, 1, 2, 3], "same1": [4, 7, 7, 8], "same2": [4, 7, 7, 8]})
+    pq.write_table(t, tmp_path / "x.parquet", row_group_size=2)
+    for n in (2, 3):
+        best, read, _ = topn.read_best(pq.ParquetFile(tmp_path / "x.parquet"), n, ["low", "t0", "same1", "same2"])
+        assert read == 2 and [x[1] for x in best.parts["a"]] == [5, 1]
+
+
 Q = "冬至夜漱桥村有塾师病自汗，脉弦细而呕逆，荻梅与蕨茱孰为君药？"
 E = "A potter from the old village has ringing ears and takes the powder at dusk, which dries the dampness better?"
 
