@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import sha256
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.sampling import numbered_by_lot
+from tessera.operators.skew import spread_row_number
 from tessera.session import cut
 
 #: Clusters in a row of the packed table, and draws hashed at a time.
@@ -74,6 +76,13 @@ def calibrate(rows: DataFrame, score: str, good: str) -> DataFrame:
     return up.unionByName(middle).where("ba is not null").agg(F.max(F.struct(F.round("ba", 9).alias("ba"), F.col("threshold"))).alias("x")).select(F.round("x.threshold", 6).alias("threshold"), F.round("x.ba", 6).alias("balanced_accuracy"))
 
 
+def _drawn(head: str, numbers: list[bytes], n: int) -> np.ndarray:
+    """For each number d, the first 48 bits of SHA-256 of ``head`` and d, modulo n."""
+    start = head.encode()
+    digests = b"".join([sha256(start + d).digest() for d in numbers])
+    return ((np.frombuffer(digests, ">u8")[::4].astype(np.uint64) >> np.uint64(16)) % np.uint64(n)).astype(np.int64)
+
+
 def _resampled(blocks_of: pa.Table, seed: str, first: int, last: int) -> Iterator[tuple[int, float | None]]:
     """(r, mean) of the resamples first … last - 1 over blocks of clusters (b, s, c).
 
@@ -88,9 +97,7 @@ def _resampled(blocks_of: pa.Table, seed: str, first: int, last: int) -> Iterato
     for lo in range(0, n, _BLOCK):
         numbers = [b"%d" % d for d in range(lo, min(n, lo + _BLOCK))]
         for r in range(first, last):
-            head = f"{seed}:{r}:".encode()
-            digests = b"".join([sha256(head + d).digest() for d in numbers])
-            i = ((np.frombuffer(digests, ">u8")[::4].astype(np.uint64) >> np.uint64(16)) % np.uint64(n)).astype(np.int64)
+            i = _drawn(f"{seed}:{r}:", numbers, n)
             sums[r - first] += s[i].sum()
             counts[r - first] += c[i].sum()
     for r in range(first, last):
@@ -124,3 +131,80 @@ def cluster_bootstrap(deltas: DataFrame, cluster: str, delta: str, resamples: in
     lo, hi = max(0, int(0.025 * resamples)), max(0, int(0.975 * resamples) - 1)
     ends = ordered.agg(F.max(F.when(F.col("k") == lo, F.col("m"))).alias("lower"), F.max(F.when(F.col("k") == hi, F.col("m"))).alias("upper"))
     return mean.withColumn("z", F.lit(1)).join(ends.withColumn("z", F.lit(1)), "z").select(F.lit(n).cast("long").alias("n"), F.round("delta", 6).alias("delta"), F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"))
+
+
+def comparisons(rows: DataFrame, cluster: str, question: str, method: str, specs: list[tuple[str, str, list[str]]], resamples: int, seed: str) -> DataFrame:
+    """(method_a, method_b, metric, n, delta, lower, upper): cluster_bootstrap of each metric of each (a, b, metrics).
+
+    A question's value is the mean of a method's values that aren't null; questions without a value of both methods fall out.
+    A comparison without any has n = 0.
+    """
+    out = []
+    for a, b, names in specs:
+        for name in names:
+            of = [F.avg(F.when(F.col(method) == m, F.col(name).cast("double"))).alias(x) for m, x in ((a, "a"), (b, "b"))]
+            paired = rows.where(F.col(method).isin(a, b)).groupBy(question).agg(F.min(cluster).alias("cluster"), *of).where("a is not null and b is not null")
+            ends = cluster_bootstrap(paired.select("cluster", (F.col("a") - F.col("b")).alias("delta")), "cluster", "delta", resamples, seed)
+            out.append(ends.select(F.lit(a).alias("method_a"), F.lit(b).alias("method_b"), F.lit(name).alias("metric"), "n", "delta", "lower", "upper"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def stratified_bootstrap(rows: DataFrame, question: str, strata: list[str], metrics: list[str], resamples: int, seed: str, level: float = 0.95) -> DataFrame:
+    """(metric, value, lower, upper, questions, strata): means and their interpolated percentiles over stratified resamples.
+
+    Each resample draws from every stratum as many questions as it has, the same ones for all metrics; draws are hashes. Missing
+    or repeated questions, missing strata and missing values are errors.
+    """
+    if resamples <= 0 or not 0 < level < 1 or not metrics or not strata:
+        raise ValueError("resamples, level, metrics or strata out of range")
+    whole = reduce(lambda x, y: x & y, [F.col(s).isNotNull() for s in strata])
+    values = cut(rows.select(F.col(question).cast("string").alias("q"), F.when(whole, F.to_json(F.struct(*strata))).alias("h"), F.array(*[F.col(m).cast("double") for m in metrics]).alias("v")))
+    seen = values.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("q").alias("different"), F.count_distinct("h").alias("strata"), F.count_if(F.col("h").isNull() | (F.coalesce("q", F.lit("")) == "") | F.exists("v", F.isnull)).alias("missing")).first()
+    if not seen.n or seen.missing or seen.different < seen.n:
+        raise ValueError(f"{seen.n} rows, {seen.missing} with something missing, {seen.different} different questions")
+    numbered = spread_row_number(values, "h", F.col("q"), F.col("q"), "i")
+    packed = numbered.groupBy("h", F.floor((F.col("i") - 1) / _BLOCK).alias("b")).agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("x")).select("h", "b", F.col("x.v").alias("v"))
+    tasks = -(-resamples // _EACH)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        members: dict[str, list] = {}
+        for h, _, v in sorted(zip(*[table.column(c).to_pylist() for c in ("h", "b", "v")]), key=lambda x: x[:2]):
+            members.setdefault(h, []).extend(v)
+        first = key[0].as_py() * _EACH
+        sums = np.zeros((min(first + _EACH, resamples) - first, len(metrics)))
+        total = 0
+        for h, v in members.items():
+            m = np.asarray(v, float)
+            total += len(m)
+            for lo in range(0, len(m), _BLOCK):
+                numbers = [b"%d" % d for d in range(lo, min(len(m), lo + _BLOCK))]
+                for r in range(len(sums)):
+                    sums[r] += m[_drawn(f"{seed}:{first + r}:{h}:", numbers, len(m))].sum(axis=0)
+        out = [(j, x) for row in sums / total for j, x in enumerate(row.tolist())]
+        return pa.table({"j": pa.array([x[0] for x in out], pa.int32()), "m": pa.array([x[1] for x in out], pa.float64())})
+
+    each = packed.crossJoin(rows.sparkSession.range(tasks).withColumnRenamed("id", "t")).repartition(tasks, "t").groupBy("t").applyInArrow(run, "j int, m double")
+    alpha = (1 - level) / 2
+    ends = each.groupBy("j").agg(F.percentile("m", alpha).alias("lower"), F.percentile("m", 1 - alpha).alias("upper"))
+    observed = values.select(F.posexplode("v").alias("j", "x")).groupBy("j").agg(F.avg("x").alias("value"))
+    name = F.element_at(F.array(*[F.lit(m) for m in metrics]), F.col("j") + 1)
+    return observed.join(ends, "j").select(name.alias("metric"), "value", "lower", "upper", F.lit(seen.n).alias("questions"), F.lit(seen.strata).alias("strata"))
+
+
+def paired_stratified_bootstrap(a: DataFrame, b: DataFrame, question: str, strata: list[str], metrics: list[str], resamples: int, seed: str, level: float = 0.95) -> DataFrame:
+    """(metric, delta, lower, upper, inconclusive, questions, strata): stratified_bootstrap of a - b question by question.
+
+    Both must have the same questions, each once and in the same stratum; else it is an error. ``inconclusive``: the interval
+    holds zero.
+    """
+    sides = []
+    for x, name in ((a, "a"), (b, "b")):
+        if x.groupBy(question).count().where("count > 1").limit(1).count():
+            raise ValueError(f"repeated questions in {name}")
+        sides.append(x.select(F.col(question).alias("q"), F.struct(*strata).alias(f"{name}_in"), *[F.col(m).cast("double").alias(f"{name}_{m}") for m in metrics]))
+    both = sides[0].join(sides[1], "q", "full")
+    if both.where("a_in is null or b_in is null or not (a_in <=> b_in)").limit(1).count():
+        raise ValueError("the two sides differ in questions or strata")
+    deltas = both.select("q", *[F.col(f"a_in.{s}").alias(s) for s in strata], *[(F.col(f"a_{m}") - F.col(f"b_{m}")).alias(m) for m in metrics])
+    ends = stratified_bootstrap(deltas, "q", strata, metrics, resamples, seed, level)
+    return ends.select("metric", F.col("value").alias("delta"), "lower", "upper", ((F.col("lower") <= 0) & (F.col("upper") >= 0)).alias("inconclusive"), "questions", "strata")

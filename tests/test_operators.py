@@ -181,6 +181,90 @@ def test_bootstrap_takes_all_production_resamples(spark):
     assert (got.lower, got.upper) == pytest.approx((means[250], means[9749]), abs=1e-6)
 
 
+def test_stratified_bootstraps(spark):
+    import numpy as np
+
+    rng = random.Random(8)
+    a = [(f"q{i}", "x" if i < 9 else "y", i % 2, rng.random(), float(i % 3)) for i in range(23)]
+    b = [(q, s, k, rng.random(), 1.0) for q, s, k, _, _ in a]
+    schema = "q string, book string, kind int, m double, n double"
+    da, db = (spark.createDataFrame(x, schema).repartition(3) for x in (a, b))
+    got = {r.metric: r for r in stats.paired_stratified_bootstrap(da, db, "q", ["book", "kind"], ["m", "n"], 250, "s").collect()}
+    deltas = {x[0]: (x[3] - y[3], x[4] - y[4]) for x, y in zip(a, b)}
+    for j, name in enumerate(("m", "n")):
+        r = got[name]
+        assert (r.questions, r.strata) == (23, 4)
+        assert r.delta == pytest.approx(np.mean([d[j] for d in deltas.values()]))
+        assert r.lower <= r.delta <= r.upper and r.inconclusive == (r.lower <= 0 <= r.upper)
+    # a stratum always keeps its number of draws: a value that is constant inside strata has no spread
+    flat = spark.createDataFrame([(f"q{i}", "x" if i < 9 else "y", 1.0 if i < 9 else 5.0) for i in range(23)], "q string, book string, v double")
+    one = stats.stratified_bootstrap(flat, "q", ["book"], ["v"], 250, "s").first()
+    assert (one.lower, one.value, one.upper) == pytest.approx(((9 + 14 * 5) / 23,) * 3)
+    # one stratum: the interval lies around the mean and inside the values
+    v = spark.createDataFrame([(f"q{i}", "x", float(i * i)) for i in range(3)], "q string, book string, v double")
+    r = stats.stratified_bootstrap(v, "q", ["book"], ["v"], 150, "s").first()
+    assert r.value == pytest.approx(5 / 3) and 0 <= r.lower < r.value < r.upper <= 4
+    for bad in (da.where("q <> 'q1'"), da.union(da.limit(1)), da.withColumn("kind", F.lit(3))):
+        with pytest.raises(ValueError):
+            stats.paired_stratified_bootstrap(bad, db, "q", ["book", "kind"], ["m"], 10, "s")
+    with pytest.raises(ValueError):
+        stats.stratified_bootstrap(da.withColumn("m", F.when(F.col("q") != "q1", F.col("m"))), "q", ["book"], ["m"], 10, "s")
+
+
+def test_comparisons_of_methods(spark):
+    data = [("d1", "q1", "A", 1.0), ("d1", "q1", "A", 0.0), ("d1", "q1", "B", 0.25), ("d2", "q2", "A", 1.0), ("d2", "q2", "B", 0.75), ("d3", "q3", "A", 1.0), ("d3", "q3", "B", None)]
+    df = spark.createDataFrame(data, "doc string, q string, method string, f double")
+    got = stats.comparisons(df, "doc", "q", "method", [("A", "B", ["f"]), ("A", "C", ["f"])], 40, "s").collect()
+    assert [(r.method_a, r.method_b, r.metric, r.n, r.delta, r.lower, r.upper) for r in got] == [("A", "B", "f", 2, 0.25, 0.25, 0.25), ("A", "C", "f", 0, None, None, None)]
+
+
+def _units(spark, *rows):
+    return spark.createDataFrame([(e, "b", "书", "ch", "篇", c, n, kind, p, t) for e, c, n, kind, p, t in rows], "evidence_id string, book_id string, book_title string, chapter_id string, chapter_title string, clause_id string, clause_number int, content_type string, parent_id string, normalized_text string")
+
+
+def test_character_splits_by_hand():
+    assert chunking.character_splits("甲乙。丙丁。戊", 4, 0) == [(0, "甲乙"), (2, "。丙丁"), (5, "。戊")]
+    assert chunking.character_splits("abcdefgh", 4, 1) == [(0, "abcd"), (3, "defg"), (6, "gh")]
+    assert chunking.character_splits("ab cd\n\nef", 5, 2) == [(0, "ab cd"), (7, "ef")]
+    assert chunking.character_splits("ab cd\n\nef", 4, 2) == [(0, "ab"), (3, "cd"), (7, "ef")]
+    assert chunking.character_splits(" \n ", 4, 0) == []
+
+
+def test_evidence_chunks_by_strategy(spark):
+    units = _units(spark, ("c2", "c2", 2, "clause", "c2", "乙" * 1001), ("c1", "c1", 1, "clause", "c1", "甲" * 30), ("f1", "c1", 1, "formula", "c1", "丙" * 290))
+    def made(strategy):
+        return {r.chunk_id: r for r in chunking.evidence_chunks(units, strategy).collect()}
+
+    got = made("c0")
+    first = got["c0-ch-000000"]
+    assert len(first.text) == 30 and first.source_evidence_ids == ["c1"] and first.clause_id is None
+    assert all(r.source_evidence_ids == ["c2"] and len(r.text) <= 500 for k, r in got.items() if k != "c0-ch-000000")
+    got = made("c2")
+    assert set(got) == {"c2-c1-001", "c2-c2-001", "c2-c2-002", "c2-c2-003"}
+    assert [got[f"c2-c2-00{i}"].char_count for i in (1, 2, 3)] == [500, 500, 161] and got["c2-c1-001"].retrieval_parent_id == "c1"
+    got = made("c3")
+    prefix = "书名：书\n篇名：篇\n类型：formula\n正文："
+    assert got["c3-f1-001"].text == prefix + "丙" * 290 and got["c3-f1-001"].retrieval_parent_id == "c1"
+    assert {len(r.text) for k, r in got.items() if k.startswith("c3-c2")} == {500, 500, len(prefix) - 1 + 1001 - 2 * (500 - len(prefix) + 1)}
+    got = made("c4")
+    assert sum(r.char_count - len(prefix) for k, r in got.items() if k.startswith("c4-f1")) == 290 and all(r.char_count <= 300 for r in got.values())
+    assert all(r.context_text == "甲" * 30 and r.clause_id == "c1" for k, r in got.items() if k.startswith("c4-f1"))
+    got = made("c5")
+    assert all(r.char_count <= 300 and len(r.context_text) <= 1000 and r.text.removeprefix("书名：书\n篇名：篇\n正文：") in r.context_text for r in got.values())
+    assert got["c5-ch-000000-000000"].source_evidence_ids == ["c1"] and got["c5-ch-000000-000000"].retrieval_parent_id == "c5-parent-ch-000000"
+    text = "甲" * 30 + "\n" + "丙" * 290 + "\n" + "乙" * 1001
+    covered = set()
+    for r in got.values():
+        body = r.text.split("正文：", 1)[1]
+        assert text[r.start_index : r.start_index + len(body)] == body
+        covered |= set(range(r.start_index, r.start_index + len(body)))
+    assert {i for i, c in enumerate(text) if c != "\n"} <= covered
+    with pytest.raises(ValueError):
+        chunking.evidence_chunks(units, "c9")
+    with pytest.raises(Exception, match="no clause"):
+        chunking.evidence_chunks(units.where("evidence_id <> 'c1'"), "c4").collect()
+
+
 def test_split_shares_and_samples_repeat(spark):
     ids = spark.range(1000).select(F.col("id").cast("string").alias("doc"))
     a = sampling.share_split(ids, "doc", 0.1, 0.15, "s")
