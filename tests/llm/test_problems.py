@@ -305,6 +305,17 @@ def test_token_tree_equals_encoding_at_once():
         assert tokenize.decode(ids, enc, 3) == x
 
 
+def test_an_ordinary_long_document_goes_through_the_tree(monkeypatch):
+    enc = tokenize.encoder(tokenize.default_vocabulary())
+    joins = []
+    joined = tokenize.join
+    monkeypatch.setattr(tokenize, "join", lambda *a: joins.append(1) or joined(*a))
+    text = (Q + E + "\n") * 20
+    assert 2_000 < len(text) < 13_804 and tokenize.encode(text, enc) == enc.encode_ordinary(text) and len(joins) >= 2
+    joins.clear()
+    assert tokenize.encode(Q, enc) == enc.encode_ordinary(Q) and not joins
+
+
 def test_token_ids_of_a_table(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "中文 text<|endoftext|>", 0), (3, "中文 text<|endoftext|>", 0), (None, "a", 0), (5, "长句。" * 30000, 0)], "doc_id long, text string, ids int")
     got = {}
