@@ -103,7 +103,8 @@ def _sides(codes: np.ndarray, at: np.ndarray, q: int) -> list[np.ndarray]:
         zero = np.zeros(at.size, dtype=np.int64)
         return [zero] * 8
     kinds = (_mix(codes + np.uint64(131)) & np.uint64(31)).astype(np.int64)
-    up_to = np.zeros((n, length + 1, 32), dtype=np.int16)
+    # a class may occur as often as the text is long
+    up_to = np.zeros((n, length + 1, 32), dtype=np.int16 if length <= np.iinfo(np.int16).max else np.int32)
     np.put_along_axis(up_to[:, 1:], kinds[:, :, None], 1, axis=2)
     np.cumsum(up_to, axis=1, out=up_to)
     rows = np.arange(n)[:, None]

@@ -281,6 +281,17 @@ def test_overlap_against_brute_force(spark):
     assert overlap.found_pairs(df.limit(0)).count() == 0
 
 
+def test_a_question_of_one_character_forty_thousand_times(spark):
+    import numpy as np
+
+    around = overlap._sides(np.full((1, 40_000), ord("甲"), dtype=np.uint64), np.array([[0, 20_000, 39_998]]), 2)
+    # ones counted on the left and right of a term: none, then as many as are told apart
+    ones = [[sum(bin(int(w[i]) & (1 << 64) - 1).count("1") for w in around[half : half + 4]) for i in range(3)] for half in (0, 4)]
+    assert ones == [[0, 8, 8], [8, 8, 0]]
+    df = spark.createDataFrame([("a", "train_pool", "d", "今日天气甚好宜出门采药归来煎服"), ("b", "dev", "d", "今日天气甚好宜出门采药归来煎用"), ("c", "dev", "d", "甲" * 40_000)], "qa_id string, split string, source_doc_id string, question string")
+    assert [sorted(r) for r in overlap.found_pairs(df).collect()] == [["a", "b"]]
+
+
 def test_rarest_disjoint_windows_are_the_cheapest():
     import numpy as np
 
