@@ -44,6 +44,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_top(spark, d).select("parent_id", "hit_id")
 
 
+def p3_skipping(spark: SparkSession, d: str) -> DataFrame:
+    return topn.skipping(table(spark, d, "tcm_qg_hits"), 5, "parent_id", "score", ["rank", "hit_id"], ["qa_id", "strategy", "chunk_id"])
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return defects.defective(table(spark, d, "formal_answers"), table(spark, d, "tcm_qg_pairs"))
 
@@ -93,7 +97,7 @@ def p9_curves(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p3_found, p3_top, p4_found, p5_found, p5_splits, p5_shares, p6_found, p6_classes, p6_counts, p7_ids, p8_containers, p8_fill, p9_found, p9_curves)}
+    return {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p3_found, p3_top, p3_skipping, p4_found, p5_found, p5_splits, p5_shares, p6_found, p6_classes, p6_counts, p7_ids, p8_containers, p8_fill, p9_found, p9_curves)}
 
 
 _EDGE = r"[\s\p{Z}\p{Cc}\p{Cf}]"

@@ -120,33 +120,31 @@ def test_top_n_against_brute_force(spark):
             key = (-x, r is None, r or 0, h)
             best[p][q, s, c] = min(best[p].get((q, s, c), key), key)
     want = {(p, k[3]) for p, m in best.items() for k in sorted(m.values())[:5]}
-    for size in (1 << 20, 512):
+    for size in (8192, 64, 3):
         got = topn.top_n(df, 5, "parent_id", "score", ["rank", "hit_id"], ["qa_id", "strategy", "chunk_id"], size)
         assert {(r.parent_id, r.hit_id) for r in got.collect()} == want
+    whole = df.withColumn("score", F.when(~F.isnan("score"), F.col("score").cast("long") + F.lit(2**53)))
+    assert {(r.parent_id, r.hit_id) for r in topn.top_n(whole, 5, "parent_id", "score", ["rank", "hit_id"], ["qa_id", "strategy", "chunk_id"], 64).collect()} == want
     assert topn.top_n(df.limit(0), 5, "parent_id", "score", ["rank", "hit_id"], ["qa_id"]).count() == 0
 
 
-def test_row_groups_of_a_crowded_group_are_skipped(tmp_path):
-    import pyarrow as pa
-    import pyarrow.parquet as pq
+def test_row_groups_of_a_crowded_group_are_skipped(spark):
+    rows = [(i, "hot", float(i % 977)) for i in range(30_000)] + [(i, f"g{i % 70}", float(i)) for i in range(30_000, 31_000)]
+    df = spark.createDataFrame(rows, "id long, g string, score double").repartition(4)
+    got = {r.kind: r for r in topn.skipping(df, 3, "g", "score", ["id"], ["id"], 500).collect()}
+    assert got["bundle"].row_groups == got["bundle"].row_groups_read and got["bundle"].rows == 1000
+    assert got["slice"].rows == 30_000 and got["slice"].row_groups >= 60 and got["slice"].row_groups_read <= 6
+    best = topn.top_n(df, 3, "g", "score", ["id"], ["id"], 500).where("g = 'hot'").orderBy("place").collect()
+    assert [(r.score, r.id) for r in best] == [(976.0, 976 + 977 * k) for k in range(3)]
 
-    n = 10_000
-    t = pa.table({"g": ["hot"] * n, "low": [-float(n - i) for i in range(n)], "t0": list(range(n)), "same1": list(range(n)), "same2": list(range(n))})
-    pq.write_table(t, tmp_path / "x.parquet", row_group_size=500)
-    best, read, skipped = topn.read_best(pq.ParquetFile(tmp_path / "x.parquet"), 3, ["low", "t0", "same1", "same2"])
-    assert (read, skipped) == (1, 19) and [x[1] for x in best.parts["hot"]] == [0, 1, 2]
 
-
-def test_the_best_copy_stands_though_its_row_group_is_read_later(tmp_path):
-    import pyarrow as pa
-    import pyarrow.parquet as pq
-
-    # the boundary of row groups lies between a hit and its copy, and the later row group also holds a higher score of another group
-    t = pa.table({"g": ["a", "a", "a", "b"], "low": [-2.0, -1.0, -1.0, -9.0], "t0": [5, 1, 2, 3], "same1": [4, 7, 7, 8], "same2": [4, 7, 7, 8]})
-    pq.write_table(t, tmp_path / "x.parquet", row_group_size=2)
+def test_the_best_copy_stands_though_a_row_group_ends_between_the_copies(spark):
+    rows = [(5, "a", 2.0, 4), (1, "a", 1.0, 7), (2, "a", 1.0, 7), (3, "b", 9.0, 8)]
+    df = spark.createDataFrame(rows, "id long, g string, score double, same int").coalesce(1)
     for n in (2, 3):
-        best, read, _ = topn.read_best(pq.ParquetFile(tmp_path / "x.parquet"), n, ["low", "t0", "same1", "same2"])
-        assert read == 2 and [x[1] for x in best.parts["a"]] == [5, 1]
+        for size in (1, 2, 3):
+            got = topn.top_n(df, n, "g", "score", ["id"], ["same"], size).orderBy("g", "place").collect()
+            assert [(r.g, r.id) for r in got] == [("a", 5), ("a", 1), ("b", 3)]
 
 
 Q = "冬至夜漱桥村有塾师病自汗，脉弦细而呕逆，荻梅与蕨茱孰为君药？"
