@@ -11,8 +11,8 @@ from tessera.functions.text import clean_id
 from tessera.operators.skew import salted_join
 from tessera.session import cut
 
-#: A component with at least this share of the rows is placed by its size, before the rest is hashed: at most 100 of them.
-GIANT_SHARE = 0.01
+#: Rounds in which the weights of the splits are fitted to the wanted shares, and the deviation that needs none.
+ROUNDS, CLOSE = 12, 0.002
 
 
 def _minima(clusters: DataFrame) -> DataFrame:
@@ -82,46 +82,68 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(F.sha2(F.concat_ws("\x00", *parts), 256), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
 
 
-def _rooms(sizes: list[tuple[str, int]], shares: dict[str, float], total: int) -> tuple[dict[str, str], dict[str, float]]:
-    """Places of the giants, largest first into the split with the most room, and the room that is left."""
-    room = {s: w * total for s, w in shares.items()}
-    placed = {}
-    for name, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        split = max(sorted(room), key=lambda s: room[s])
-        placed[name] = split
-        room[split] -= n
-    return placed, {s: max(0.0, x) for s, x in room.items()}
+def _winner(draws: Column, weights: dict[str, float]) -> Column:
+    """The split with the largest -weight / ln(h), which is the one with the least draw a weight."""
+    races = [F.struct((draws[i] / F.lit(w)).alias("at"), F.lit(s).alias("split")) for i, (s, w) in enumerate(weights.items()) if w > 0]
+    return F.least(*races, races[0])["split"]
+
+
+def _fit(free: DataFrame, target: dict[str, float]) -> dict[str, float]:
+    """Weights by which rendezvous hashing gives each split about its target of rows: every round counts what the weights
+    would give and scales them by what is wanted of it. The best round stands. Only one number a split comes to the driver."""
+    whole = math.fsum(target.values())
+    weights, best = {s: x / whole for s, x in target.items()}, None
+    for _ in range(ROUNDS):
+        got = {r[0]: float(r[1]) for r in free.groupBy(_winner(F.col("draws"), weights).alias("split")).agg(F.sum("n")).collect()}
+        rows = math.fsum(got.values())
+        if not rows:
+            return weights
+        off = max(abs(got.get(s, 0.0) / rows - x / whole) for s, x in target.items())
+        if best is None or off < best[0]:
+            best = (off, weights)
+        if off <= CLOSE:
+            break
+        scaled = {s: w * (target[s] / whole / max(got.get(s, 0.0) / rows, 1e-6)) ** 0.7 if w > 0 else 0.0 for s, w in weights.items()}
+        weights = {s: w / math.fsum(scaled.values()) for s, w in scaled.items()}
+    return best[1]
 
 
-def assign_splits(records: DataFrame, links: DataFrame, plan: DataFrame, key: str = "qa_id", doc: str = "source_doc_id") -> DataFrame:
+def assign_splits(records: DataFrame, links: DataFrame, plan: DataFrame, key: str = "qa_id", doc: str = "source_doc_id", held: DataFrame | None = None) -> DataFrame:
     """(key, doc, component, new_split): a new split for every record, one for all records of a component.
 
-    A component goes to the split with the largest -weight / ln(h), h a hash of component and split: weighted rendezvous
-    hashing, by which a changed share moves only as many components as it must. Components with at least a hundredth of the
-    records (at most 100) would upset the shares by chance, so they are placed first, by size; the room left to
-    each split is its weight for the rest. A record without a document is a component of its own, by its key. ``plan``
-    (split, share) is a fixed table of a few rows. Records exported twice get the same split twice.
+    Weighted rendezvous hashing: a component goes to the split with the largest -weight / ln(h), h a hash of component and
+    split, whatever its size. The weights are fitted so that the splits get about the shares of the plan in records; a
+    changed weight moves only as many components as it must. ``held`` (key, new_split), the result of an earlier run, is
+    kept: a component with held records stays where most of them are (ties to the smaller name), so new records move no old
+    ones unless a new link joins what was apart; the weights then see to the room that is left.
+
+    A record without a document is a component of its own, by its key. ``plan`` (split, share) is a fixed table of a few
+    rows; splits with a null name or no share get nothing, and a plan without any is an error. Records exported twice get the
+    same split twice.
     """
     groups = related_groups(records, links, doc, doc, "linked_doc_id")
     r = records.select(F.col(key), F.col(doc), clean_id(F.col(doc)).alias("doc"))
     r = cut(salted_join(r, groups, "doc", F.col(key), how="left").withColumn("component", F.coalesce("component", F.concat(F.lit("\x00"), F.coalesce(F.col(key).cast("string"), F.lit(""))))).drop("doc"))
-    total = r.count()
-    shares = {str(s): float(w) for s, w in plan.where("split is not null and share > 0").groupBy("split").agg(F.max("share")).collect()}
+    shares = {str(s): float(w) for s, w in plan.where("split is not null and share > 0").groupBy("split").agg(F.max("share")).orderBy("split").collect()}
     if not shares:
         raise ValueError("the plan has no split with a share")
-    whole = math.fsum(shares.values())
-    shares = {s: w / whole for s, w in shares.items()}
-    sizes = r.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2, math.ceil(GIANT_SHARE * total)))
-    giants = [tuple(x) for x in sizes.collect()]  # at most 1 / GIANT_SHARE
-    placed, room = _rooms(giants, shares, total)
-    if not any(room.values()):
-        room = shares
-    score = lambda s, w: F.lit(-w) / F.ln(uniform(F.col("component"), F.lit(s)))
-    best = F.greatest(*[F.struct(score(s, w).alias("score"), F.lit(s).alias("split")) for s, w in sorted(room.items()) if w > 0], F.struct(F.lit(-1.0).alias("score"), F.lit("").alias("split")))["split"]
-    if placed:
-        fixed = F.create_map(*[F.lit(x) for kv in sorted(placed.items()) for x in kv])
-        best = F.coalesce(F.element_at(fixed, F.col("component")), best)
-    return r.select(key, doc, F.when(~F.col("component").startswith("\x00"), F.col("component")).alias("component"), best.alias("new_split"))
+    draws = F.array(*[-F.ln(uniform(F.col("component"), F.lit(s))) for s in shares])
+    sizes = r.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    if held is not None:
+        earlier = held.where(F.col(key).isNotNull() & F.col("new_split").isin(list(shares))).groupBy(key).agg(F.min("new_split").alias("was"))
+        most = r.select(key, "component").distinct().join(earlier, key).groupBy("component", "was").agg(F.count(F.lit(1)).alias("of"))
+        most = most.groupBy("component").agg(F.min_by("was", F.struct(-F.col("of"), F.col("was"))).alias("was"))
+        sizes = sizes.join(most, "component", "left")
+    else:
+        sizes = sizes.withColumn("was", F.lit(None).cast("string"))
+    sizes = cut(sizes.withColumn("draws", draws))
+    taken = {x[0]: float(x[1]) for x in sizes.groupBy("was").agg(F.sum("n")).collect()}
+    whole, total = math.fsum(shares.values()), math.fsum(taken.values())
+    target = {s: max(0.0, w / whole * total - taken.get(s, 0.0)) for s, w in shares.items()}
+    weights = _fit(sizes.where("was is null"), target if any(target.values()) else shares)
+    chosen = sizes.select("component", F.coalesce("was", _winner(F.col("draws"), weights)).alias("new_split"))
+    named = F.when(~F.col("component").startswith("\x00"), F.col("component")).alias("component")
+    return salted_join(r, chosen, "component", F.col(key), how="left").select(key, doc, named, "new_split")
 
 
 def split_report(assigned: DataFrame, plan: DataFrame) -> DataFrame:

@@ -221,6 +221,16 @@ def test_splits(spark):
     assert all(len(s) == 1 for s in by.values())
     share = Counter(r.new_split for r in got)
     assert abs(share["train_pool"] / len(rows) - 0.8) < 0.06 and abs(share["dev"] / len(rows) - 0.1) < 0.04
+    assert all(abs(share[s] / len(rows) - w) < 0.01 for s, w in (("train_pool", 0.8), ("dev", 0.1), ("test", 0.1)))
+    # a tenth more records, some of new and some of old documents, moves no record that has its split
+    new = [(f"n{i}", f"sd{rng.randrange(300, 600)}", None) for i in range(200)]
+    more = spark.createDataFrame(rows + new, "qa_id string, source_doc_id string, split string")
+    held = spark.createDataFrame([(r.qa_id, r.new_split) for r in got], "qa_id string, new_split string")
+    was = {(r.qa_id, r.source_doc_id): r.new_split for r in got}
+    again = splits.assign_splits(more, links, plan, held=held).collect()
+    assert len(again) == len(rows) + 200 and all(was.get((r.qa_id, r.source_doc_id), r.new_split) == r.new_split for r in again)
+    share = Counter(r.new_split for r in again)
+    assert all(abs(share[s] / len(again) - w) < 0.01 for s, w in (("train_pool", 0.8), ("dev", 0.1), ("test", 0.1)))
     docs = spark.createDataFrame([("sd0",), ("sd2",), ("sd3",), ("sd3",)], "source_doc_id string")
     p = spark.createDataFrame([("a", "SD2", "dev"), ("b", "ｓｄ３", "test "), ("c", "sd0", "dev"), ("d", "sd0", None)], "qa_id string, source_doc_id string, split string")
     assert sorted(r[0] for r in splits.broken_documents(p, links, docs).collect()) == ["sd2", "sd3"]
