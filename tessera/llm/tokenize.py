@@ -5,15 +5,18 @@ from __future__ import annotations
 import base64
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters of a leaf of the tree; shorter texts are one leaf. Of ordinary documents about one in twelve is longer.
-LEAF = 1_024
-#: Tokens on either side of a seam that are encoded again at first; the number doubles until the seam is settled.
+#: Characters of a leaf of the tree, of a block of text that one task encodes, and how many neighbours one round joins.
+LEAF, BLOCK, FAN = 256, 65_536, 32
+#: Rounds that join blocks: a string of Spark has fewer than 2^31 bytes, so at most FAN ** 3 blocks.
+ROUNDS = 3
+#: Tokens on either side of a seam that are encoded again at first; the number grows until the seam is settled.
 SEAM = 8
 _encoders: dict[str, object] = {}
 
@@ -41,6 +44,7 @@ def encoder(path: str):
 WHITE = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
+@lru_cache(1 << 16)
 def kind(c: str) -> str:
     """white, letter, number, mark (punctuation and symbols) or other, by Unicode category."""
     if c in WHITE:
@@ -87,23 +91,29 @@ def join(a: str, left: list[int], b: str, right: list[int], enc, seam: int = SEA
 
 def _outside(text: str, ids: list[int], enc, seam: int, from_end: bool) -> tuple[int, int]:
     """(token, character) where the window ends inside this half: the nearest settled place at least ``seam`` tokens away."""
-    n = len(ids)
-    raw = enc.decode_tokens_bytes
-    width = seam
-    while width < n:
-        part = b"".join(raw(ids[n - width :] if from_end else ids[:width]))
-        try:
-            chars = len(part.decode("utf-8"))  # the window's edge must not lie inside a character
-        except UnicodeDecodeError:
-            width += 1
-            continue
-        at = len(text) - chars if from_end else chars
-        if 0 < at < len(text) and settled(text[at - 1], text[at]):
-            return (n - width, at) if from_end else (width, at)
-        width += 1 if width < 4 * seam else max(1, width // 8)
+    n, chars = len(ids), 0
+    begun, whole = _characters(enc)
+    for width in range(1, n):
+        chars += begun[ids[n - width] if from_end else ids[width - 1]]
+        # the window's edge must not lie inside a character
+        if width >= seam and whole[ids[n - width] if from_end else ids[width]]:
+            at = len(text) - chars if from_end else chars
+            if 0 < at < len(text) and settled(text[at - 1], text[at]):
+                return (n - width, at) if from_end else (width, at)
     return (0, 0) if from_end else (n, len(text))
 
 
+_begun: dict[int, tuple[list[int], list[bool]]] = {}
+
+
+def _characters(enc) -> tuple[list[int], list[bool]]:
+    """How many characters begin in each token, and whether it begins with one; once an encoder."""
+    if id(enc) not in _begun:
+        raw = [enc.decode_single_token_bytes(i) if i in ranks else b"" for ranks in [set(enc._mergeable_ranks.values())] for i in range(enc.n_vocab)]
+        _begun[id(enc)] = ([sum(c & 0xC0 != 0x80 for c in x) for x in raw], [bool(x) and x[0] & 0xC0 != 0x80 for x in raw])
+    return _begun[id(enc)]
+
+
 def decode(ids: list[int], enc, leaf: int = LEAF) -> str:
     """The text of ids; bytes concatenate up the tree."""
 
@@ -116,46 +126,81 @@ def decode(ids: list[int], enc, leaf: int = LEAF) -> str:
     return tree(0, len(ids)).decode("utf-8")
 
 
-def _rows(batches: Iterator[pa.RecordBatch], path: str, leaf: int, counts: bool) -> Iterator[pa.RecordBatch]:
+def join_all(parts: list[tuple[str, list[int]]], enc, seam: int = SEAM) -> list[int]:
+    """Ids of neighbouring pieces of text joined pairwise, level by level."""
+    while len(parts) > 1:
+        odd = parts[len(parts) & ~1 :]
+        parts = [(a + b, join(a, left, b, right, enc, seam)) for (a, left), (b, right) in zip(parts[::2], parts[1::2])] + odd
+    return parts[0][1] if parts else []
+
+
+def _column(lists: list, counts: bool) -> pa.Array:
     import numpy as np
 
+    if counts:
+        return pa.array([len(x) for x in lists], type=pa.int32())
+    offsets = np.zeros(len(lists) + 1, dtype=np.int32)
+    np.cumsum([len(x) for x in lists], out=offsets[1:])
+    flat = np.concatenate([np.asarray(x, dtype=np.int32) for x in lists]) if lists else np.zeros(0, dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.int32()))
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, leaf: int, counts: bool) -> Iterator[pa.RecordBatch]:
+    """The last column, texts, replaced by their ids or the number of these."""
     enc = encoder(path)
     for batch in batches:
-        keys, texts = batch.column(0), batch.column(1)
-        lengths, pieces = [], []
-        for text in texts.to_pylist():
-            ids = encode(text, enc, leaf) if text else []
-            lengths.append(len(ids))
-            if not counts:
-                pieces.append(np.asarray(ids, dtype=np.int32))
-        if counts:
-            column = pa.array(lengths, type=pa.int32())
-        else:
-            offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
-            np.cumsum(lengths, out=offsets[1:])
-            flat = np.concatenate(pieces) if pieces else np.zeros(0, dtype=np.int32)
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.int32()))
-        yield pa.RecordBatch.from_arrays([keys, column], names=["key", "value"])
-
-
-def _over(docs: DataFrame, key: str, text: str, path: str | None, leaf: int, counts: bool, name: str) -> DataFrame:
-    path = path or default_vocabulary()
-    value = T.IntegerType() if counts else T.ArrayType(T.IntegerType())
-    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("value", value)])
-    narrow = docs.select(F.col(key).alias("key"), F.col(text).alias("value"))
-    return narrow.mapInArrow(lambda it: _rows(it, path, leaf, counts), schema).select(F.col("key").alias(key), F.col("value").alias(name))
+        *others, texts = batch.columns
+        ids = [encode(text, enc, leaf) if text else [] for text in texts.to_pylist()]
+        yield pa.RecordBatch.from_arrays([*others, _column(ids, counts)], names=batch.schema.names)
+
+
+def _joined(batches: Iterator[pa.RecordBatch], path: str, counts: bool) -> Iterator[pa.RecordBatch]:
+    """The last column, lists of (no, ids) of neighbours, replaced by the ids of them joined or the number of these."""
+    enc = encoder(path)
+    for batch in batches:
+        *others, parts = batch.columns
+        ids = [join_all([(enc.decode(x["value"]), x["value"]) for x in sorted(some, key=lambda x: x["no"])], enc) for some in parts.to_pylist()]
+        yield pa.RecordBatch.from_arrays([*others, _column(ids, counts)], names=batch.schema.names)
 
 
-def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, leaf: int = LEAF) -> DataFrame:
+def _with(schema: T.StructType, last: T.DataType) -> T.StructType:
+    return T.StructType([*schema.fields[:-1], T.StructField(schema.fields[-1].name, last)])
+
+
+def _over(docs: DataFrame, key: str, text: str, path: str | None, leaf: int, block: int, counts: bool, name: str) -> DataFrame:
+    path = path or default_vocabulary()
+    list_type = T.ArrayType(T.IntegerType())
+    value = T.IntegerType() if counts else list_type
+    narrow = docs.select(F.col(key).alias("key"), F.col(text).alias("value"))
+    fits = F.coalesce(F.length("value"), F.lit(0)) <= block
+    short = narrow.where(fits)
+    short = short.mapInArrow(lambda it: _encoded(it, path, leaf, counts), _with(short.schema, value))
+    # longer texts: one row a block, then as many neighbours as FAN are joined in each round
+    last = F.floor((F.length("value") - 1) / block)
+    blocks = narrow.where(~fits).select("key", F.xxhash64("value").alias("h1"), F.xxhash64("value", F.lit(1)).alias("h2"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("no"), "value")
+    blocks = blocks.withColumn("value", F.substring(F.col("value"), (F.col("no") * block + 1).cast("int"), F.lit(block)))
+    spread = blocks.groupBy("key", "h1", "h2", "no").agg(F.count(F.lit(1)).alias("copies"), F.any_value("value").alias("value"))
+    rows = spread.mapInArrow(lambda it: _encoded(it, path, leaf, False), _with(spread.schema, list_type))
+    for k in range(ROUNDS):
+        up = rows.groupBy("key", "h1", "h2", F.floor(F.col("no") / FAN).alias("no")).agg(F.max("copies").alias("copies"), F.collect_list(F.struct("no", "value")).alias("value"))  # at most FAN
+        done = counts and k == ROUNDS - 1
+        rows = up.mapInArrow(lambda it, done=done: _joined(it, path, done), _with(up.schema, T.IntegerType() if done else list_type))
+    long = rows.select("key", "value", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).drop("copy")
+    return short.unionByName(long).select(F.col("key").alias(key), F.col("value").alias(name))
+
+
+def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """(key, ids): the ids of each row's whole text, without special tokens.
 
-    One pass without a shuffle; other columns aren't read. A null or empty text gives an empty list, a null key stays
-    null, repeated rows give repeated rows, an empty table gives no rows. Strings that look like special tokens are
-    ordinary text. Texts above ``leaf`` characters go through the tree of halves, with the same ids.
+    Every text is a tree of halves down to leaves of ``leaf`` characters, whose ids are joined upwards. A text longer than
+    ``block`` characters is first cut into blocks that are encoded as rows of their own, by as many tasks as there are; three
+    rounds join neighbouring blocks. Other texts take one pass without a shuffle. Other columns aren't read. A null or empty
+    text gives an empty list, a null key stays null, repeated rows give repeated rows, an empty table gives no rows. Strings
+    that look like special tokens are ordinary text.
     """
-    return _over(docs, key, text, path, leaf, False, "ids")
+    return _over(docs, key, text, path, leaf, block, False, "ids")
 
 
-def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, leaf: int = LEAF) -> DataFrame:
-    """(key, n_tokens) of each row; only the lengths leave the Python workers. Cases as for token_ids."""
-    return _over(docs, key, text, path, leaf, True, "n_tokens")
+def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
+    """(key, n_tokens) of each row; of texts within a block only the lengths leave the Python workers. Cases as for token_ids."""
+    return _over(docs, key, text, path, leaf, block, True, "n_tokens")

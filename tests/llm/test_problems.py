@@ -324,17 +324,28 @@ def test_token_tree_equals_encoding_at_once():
         assert tokenize.decode(ids, enc, 3) == x
 
 
-def test_an_ordinary_long_document_goes_through_the_tree(monkeypatch):
+def test_ordinary_documents_go_through_the_tree(monkeypatch):
     enc = tokenize.encoder(tokenize.default_vocabulary())
     joins = []
     joined = tokenize.join
     monkeypatch.setattr(tokenize, "join", lambda *a: joins.append(1) or joined(*a))
-    text = (Q + E + "\n") * 20
-    assert 2_000 < len(text) < 13_804 and tokenize.encode(text, enc) == enc.encode_ordinary(text) and len(joins) >= 2
+    text = (Q + E + "\n") * 4
+    assert 256 < len(text) < 1024 and tokenize.encode(text, enc) == enc.encode_ordinary(text) and len(joins) >= 2
     joins.clear()
     assert tokenize.encode(Q, enc) == enc.encode_ordinary(Q) and not joins
 
 
+def test_blocks_of_long_texts_are_joined_across_rows(spark):
+    enc = tokenize.encoder(tokenize.default_vocabulary())
+    rng = random.Random(14)
+    alphabet = "ab'sl  \n\t1２中文，。.!😀\u200d　é<|endoftext|>"
+    texts = ["".join(rng.choices(alphabet, k=n)) for n in (3, 16, 17, 40, 300, 700)] + ["a" * 650, " " * 333 + "x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(4, texts[4]), (4, texts[5]), (None, texts[4])], "doc_id long, text string")
+    want = sorted((str(k), enc.encode_ordinary(t)) for k, t in [*enumerate(texts), (4, texts[4]), (4, texts[5]), (None, texts[4])])
+    assert sorted((str(r.doc_id), list(r.ids)) for r in tokenize.token_ids(df, leaf=5, block=16).collect()) == want
+    assert sorted((str(r.doc_id), r.n_tokens) for r in tokenize.token_counts(df, leaf=5, block=16).collect()) == sorted((k, len(x)) for k, x in want)
+
+
 def test_token_ids_of_a_table(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "中文 text<|endoftext|>", 0), (3, "中文 text<|endoftext|>", 0), (None, "a", 0), (5, "长句。" * 30000, 0)], "doc_id long, text string, ids int")
     got = {}
