@@ -1,4 +1,4 @@
-"""Oversized texts cut at natural boundaries: a tree of headings, lines, sentences and clauses, packed to the limit."""
+"""Oversized texts cut at natural boundaries: a structure tree of headings, lists, lines and sentences, packed to the limit."""
 
 from __future__ import annotations
 
@@ -9,82 +9,97 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Where nodes of each level end, from the coarsest to the finest. A heading starts a section: book markup, numbered
-# volumes, bracketed labels, Markdown.
-HEADING = re.compile(r"^(?:<[^<>\n]{1,12}>|卷[^\n]{1,30}$|第[^\n]{1,12}[章节回卷篇门][^\n]{0,20}$|【[^】\n]{1,16}】|#{1,6} )", re.M)
-PARAGRAPH = re.compile(r"(?:\r\n|\r|\n)[ \t　]*(?:\r\n|\r|\n)+|(?:\r\n|\r|\n)(?=[ \t　]*(?:[-*•·]|\d{1,3}[.、)）]|[（(]\d{1,3}[)）]))")
-LINE = re.compile(r"\r\n|\r|\n|\x0b|\x0c|\x85| | ")
+# Headings by depth, the outermost first: volumes, numbered parts, book markup, bracketed labels. Markdown names its depth.
+HEADINGS = (r"卷[^\n]{1,30}$", r"第[^\n]{1,12}[卷篇][^\n]{0,20}$", r"第[^\n]{1,12}[章回门][^\n]{0,20}$", r"第[^\n]{1,12}节[^\n]{0,20}$", r"<[^<>\n]{1,12}>", r"【[^】\n]{1,16}】")
+HEADING = re.compile("^(?:" + "|".join(f"({x})" for x in (*HEADINGS, "#{1,6} ")) + ")", re.M)
+# A list item: its indent, then a bullet or a number.
+ITEM = re.compile(r"(?:(?<=\n)|(?<=\r)|\A)([ \t　]*)(?:[-*•·]|\d{1,3}[.、)）]|[（(]\d{1,3}[)）])")
+# Where nodes of each level end, from the coarsest to the finest.
+PARAGRAPH = re.compile(r"(?:\r\n|\r|\n)[ \t　]*(?:\r\n|\r|\n)+")
+LINE = re.compile(r"\r\n|\r|\n|\x0b|\x0c|\x85|\u2028|\u2029")
 SENTENCE = re.compile(r"(?:[。！？!?…]+|\.(?=\s|$)|\.(?=[^\x00-\x7f]))[”’』」》）\"')\]]*[ \t　]*")
 CLAUSE = re.compile(r"[；;：:，,、][”’』」》）\"')\]]*[ \t　]*")
 WORD = re.compile(r"[ \t　]+")
-LEVELS = (PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD)
+ENDS = (PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD)
+# Levels of the tree: sections by headings, paragraphs, list items, then the rest of ENDS.
+SECTIONS, PARAGRAPHS, ITEMS, REST = 0, 1, 2, 3
 
 
-def _children(text: str, lo: int, hi: int, level: int) -> list[tuple[int, int]]:
-    """The parts of a node; one part where it has no boundary of this level."""
-    if level < 0:
-        cuts = [m.start() for m in HEADING.finditer(text, lo, hi) if m.start() > lo]
+def _depth(m: re.Match) -> int:
+    return len(m.group().rstrip()) if m.group().startswith("#") else m.lastindex
+
+
+def _outermost(found: list[tuple[int, int]], lo: int, hi: int) -> list[tuple[int, int]]:
+    """Parts of a node that start at its outermost marks; what lies deeper stays inside them."""
+    top = min((d for at, d in found if at > lo), default=None)
+    starts = [lo, *[at for at, d in found if at > lo and d == top]]
+    return list(zip(starts, [*starts[1:], hi]))
+
+
+def children(text: str, lo: int, hi: int, level: int) -> tuple[list[tuple[int, int]], int]:
+    """The children of a node and the level they are looked at first. Sections and lists nest, so theirs is the same level."""
+    if level == SECTIONS:
+        parts = _outermost([(m.start(), _depth(m)) for m in HEADING.finditer(text, lo, hi)], lo, hi)
+    elif level == ITEMS:
+        parts = _outermost([(m.start(), len(m.group(1).expandtabs(4))) for m in ITEM.finditer(text, lo, hi)], lo, hi)
     else:
-        cuts = [m.end() for m in LEVELS[level].finditer(text, lo, hi)]
-    ends = [c for c in cuts if lo < c < hi] + [hi]
-    return list(zip([lo, *ends[:-1]], ends))
+        cuts = [m.end() for m in ENDS[level - 1 if level == PARAGRAPHS else level - 2].finditer(text, lo, hi)]
+        ends = [c for c in cuts if lo < c < hi] + [hi]
+        parts = list(zip([lo, *ends[:-1]], ends))
+    return parts, level if level in (SECTIONS, ITEMS) and len(parts) > 1 else level + 1
 
 
-def pieces(text: str, most: int, overlap: int) -> list[tuple[int, int]]:
-    """(start, end) of each piece of a text, in code points.
+def _leaf(level: int) -> bool:
+    return level > REST + len(ENDS) - 2
 
-    The text is a tree: sections under headings, paragraphs and list items, lines, sentences, clauses, words. Siblings
-    merge from the left while they fit into a piece; a node is entered only if it fits into no piece as a whole. So a piece
-    ends at a coarse boundary where it can, and inside a sentence only if that alone is too long. Each piece after the first
-    starts ``overlap`` characters before the end of the one before. A text within the limit is one piece, an empty one none.
-    """
-    if most <= 0 or not 0 <= overlap < most:
-        raise ValueError("the limit must be positive and exceed the overlap")
-    n = len(text)
-    if n <= most:
-        return [(0, n)] if n else []
-    ends: list[int] = []  # closed pieces' ends
-    open_at = 0  # end of what the open piece holds so far
 
-    def closed() -> int:
-        return ends[-1] if ends else 0
+def merged(parts: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:
+    """Neighbouring siblings joined from the left while both fit and so does what they make; larger ones stay alone."""
+    out: list[tuple[int, int]] = []
+    for a, b in parts:
+        if out and b - out[-1][0] <= room:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
 
-    def room() -> int:
-        """Characters that the open piece may hold beyond the last end."""
-        return most if not ends else most - overlap
+def segments(text: str, room: int) -> list[tuple[int, int]]:
+    """The text as the tree's whole subtrees of at most ``room`` characters, siblings merged.
 
-    # nodes still to place, first on top: (lo, hi, level of its children)
-    stack = [(0, n, -1)]
+    A node that fits is one unit, whatever is below. Of a node that doesn't, the children that fit are merged with their
+    neighbours among the same parent's children, and only those that don't are entered. So no segment holds parts of two
+    parents one of which is divided. What has no boundary inside is cut to the limit.
+    """
+    out: list[tuple[int, int]] = []
+    stack = [(0, len(text), SECTIONS)]
     while stack:
         lo, hi, level = stack.pop()
-        if hi - closed() <= room():
-            open_at = hi
-            continue
-        if open_at > closed() and hi - lo <= most - overlap:
-            ends.append(open_at)
-            open_at = hi
-            continue
-        if level == LEVELS.index(CLAUSE) and open_at > closed():
-            ends.append(open_at)  # a sentence too long for a piece starts one, so that the piece before ends at a sentence
-            stack.append((lo, hi, level))
-            continue
-        if level >= len(LEVELS):
-            # nothing natural inside: fill the piece, the rest follows
-            if open_at > closed():
-                ends.append(open_at)
-            cut = closed() + room()
-            if cut >= hi:
-                open_at = hi
-                continue
-            ends.append(cut)
-            open_at = cut
-            stack.append((cut, hi, level))
-            continue
-        kids = _children(text, lo, hi, level)
-        stack.extend((a, b, level + 1) for a, b in reversed(kids))
-    if open_at > closed():
-        ends.append(open_at)
-    return [(0 if i == 0 else ends[i - 1] - overlap, e) for i, e in enumerate(ends)]
+        if hi - lo <= room:
+            out.append((lo, hi))
+        elif _leaf(level):
+            out += [(a, min(a + room, hi)) for a in range(lo, hi, room)]
+        else:
+            parts, below = children(text, lo, hi, level)
+            stack.extend((a, b, below) for a, b in reversed(merged(parts, room)))
+    return out
+
+
+def pieces(text: str, most: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, end) of each piece of a text, in code points.
+
+    The structure tree (sections by depth of heading, paragraphs, nested list items, lines, sentences, clauses, words) is
+    packed into segments of the limit less the overlap. A piece is a segment, and each after the first starts ``overlap``
+    characters before it. So a piece ends at a coarse boundary where it can, and inside a sentence only if that alone is too
+    long. First segments that are shorter than the overlap make one piece with what follows. A text within the limit is
+    one piece, an empty one none.
+    """
+    if most <= 0 or not 0 <= overlap < most:
+        raise ValueError("the limit must be positive and exceed the overlap")
+    if len(text) <= most:
+        return [(0, len(text))] if text else []
+    ends = [b for _, b in segments(text, most - overlap) if b >= overlap]
+    return list(zip([0, *[e - overlap for e in ends[:-1]]], ends))
 
 
 def _cut(it: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:

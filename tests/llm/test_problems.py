@@ -83,14 +83,49 @@ def test_pieces_lose_nothing_and_end_where_sentences_do(text, most, overlap):
     overlap = min(overlap, most - 1)
     p = splitting.pieces(text, most, overlap)
     assert "".join(text[a + (overlap if i else 0) : b] for i, (a, b) in enumerate(p)) == text
-    assert all(0 < b - a <= most for a, b in p)
+    assert all(a >= 0 and 0 < b - a <= most for a, b in p)
     for i, (a, b) in enumerate(p[:-1]):
         assert p[i + 1][0] == b - overlap
+        if i == 0 and 0 <= text.find("。") < overlap - 1:
+            continue  # the first piece must hold the whole overlap, so it can't end where its first sentence does
         new = text[p[i - 1][1] if i else 0 : b]
         if not re.search(r"(?:[。\n]|\.\s*)[《》》 ]*$", new) and "。" in new.rstrip("》 "):
             assert text[b : b + 1] in "》" or not re.search(r"。(?!》)", new[:-1]), (p, new)
 
 
+def test_segments_follow_the_tree():
+    """No segment joins children of two parents one of which doesn't fit; headings and lists nest."""
+    text = "# A\n" + "甲乙丙丁。" * 3 + "\n## A.1\n" + "子丑寅卯。" * 8 + "\n## A.2\n辰巳。\n## A.3\n午未。\n# B\n申酉。\n## B.1\n戌亥。\n"
+    got = [text[a:b] for a, b in splitting.segments(text, 40)]
+    assert "".join(got) == text
+    assert got[0].startswith("# A") and "## A.1" not in got[0]
+    assert [x for x in got if "A.2" in x] == ["## A.2\n辰巳。\n## A.3\n午未。\n"]  # siblings merge, and not with what follows their parent
+    assert got[-1] == "# B\n申酉。\n## B.1\n戌亥。\n"  # a parent that fits stays whole
+    items = "引。\n- 一\n  - 一之一，" + "丙" * 9 + "\n  - 一之二\n    - 深\n- 二\n  - 二之一\n- 三" + "丁" * 30
+    got = [items[a:b] for a, b in splitting.segments(items, 24)]
+    assert "".join(got) == items
+    assert got[:4] == ["引。\n", "- 一\n  - 一之一，丙丙丙丙丙丙丙丙丙\n", "  - 一之二\n    - 深\n", "- 二\n  - 二之一\n"]
+    deep = "\n".join(" " * i + "- 层" for i in range(1500))
+    assert "".join(deep[a:b] for a, b in splitting.segments(deep, 100)) == deep
+
+
+def test_nested_sections_are_never_joined_across_parents():
+    rng = random.Random(21)
+    for _ in range(200):
+        text, owner = "", []
+        for i in range(rng.randint(2, 6)):
+            for j in range(rng.randint(1, 4)):
+                part = (f"# 章{i}\n" if not j else f"## 节{i}.{j}\n") + "某句。" * rng.randint(1, 9) + "\n"
+                text, owner = text + part, owner + [i] * len(part)
+        room = rng.randint(20, 60)
+        sizes = Counter(owner)
+        segs = splitting.segments(text, room)
+        assert "".join(text[a:b] for a, b in segs) == text and all(b - a <= room for a, b in segs)
+        for a, b in segs:
+            inside = set(owner[a:b])
+            assert len(inside) == 1 or all(sizes[i] <= room for i in inside)
+
+
 def test_split_oversized(spark):
     long = "好。" * 20000 + "末"
     items = spark.createDataFrame([("parent", "a", "一二三。四五六七八。", 1), ("parent", "a", "一二三。四五六七八。", 2), ("parent", "b", "短", 3), ("parent", "c", None, 4), ("parent", None, "一二三四五六七八九十" * 3, 5), ("chunk", "a", "abcdefgh", 6), ("x", "a", "q" * 99, 7), ("parent", "long", long, 8)], "item_kind string, item_id string, text string, most int")
