@@ -88,6 +88,10 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, d))
 
 
+def p8_choices(spark: SparkSession, d: str) -> DataFrame:
+    return packing.choices(tokenize.token_counts(table(spark, d, "documents")))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.stuffed_pages(table(spark, d, "documents"))
 
@@ -97,7 +101,7 @@ def p9_curves(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p3_found, p3_top, p3_skipping, p4_found, p5_found, p5_splits, p5_shares, p6_found, p6_classes, p6_counts, p7_ids, p8_containers, p8_fill, p9_found, p9_curves)}
+    return {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p3_found, p3_top, p3_skipping, p4_found, p5_found, p5_splits, p5_shares, p6_found, p6_classes, p6_counts, p7_ids, p8_containers, p8_fill, p8_choices, p9_found, p9_curves)}
 
 
 _EDGE = r"[\s\p{Z}\p{Cc}\p{Cf}]"

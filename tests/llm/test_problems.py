@@ -414,7 +414,8 @@ def test_pack(spark):
     for r in rows:
         lengths[r.doc_id] += r.n
         if r.container is not None:
-            held[r.container].append((r.container_start, r.n, r.capacity))
+            held[r.container].append((r.container_start, r.n, 2048))
+            assert r.sequence_start % r.capacity == 0 and r.sequence_start <= r.container_start and r.container_start + r.n <= r.sequence_start + r.capacity
     want = Counter()
     for k, n in sizes:
         want[k] += n or 0
@@ -429,6 +430,10 @@ def test_pack(spark):
     fill = packing.fill_report(packing.pack(usual)).collect()
     assert sum(r.unused for r in fill) < 0.02 * sum(r.tokens for r in fill)
     assert packing.pack(df.limit(0)).count() == 0
+    joint, alone = packing.choices(usual).collect()
+    assert len(fill) > 1 and joint.cost < 0.95 * alone.cost and abs(sum(r.cost for r in fill) - joint.cost) < 1e-6 * joint.cost
+    with pytest.raises(ValueError):
+        packing.pack(df, capacities=(500, 2048))
 
 
 PROSE = "凡肝阴亏之人，多见目赤，舌红少苔。病家初不信，服药后大减，始复来诊。煎煮前应以清水浸泡半个时辰，宜后下。"
