@@ -28,7 +28,7 @@ from tessera.session import cut
 SHARE = 0.5
 #: Pages that are read closely to fit the model: about so many of any corpus, chosen by hash. What lies below the weakest case
 #: among them by more than the margin (in logits) isn't flagged.
-SAMPLE, MARGIN = 8_192, 0.5
+SAMPLE, MARGIN = 8_192, 8.0
 #: A norm of few pages leans on its language's and all pages' norms as if these were so many pages.
 LEAN = 20.0
 _PORTION = 4_000_000
