@@ -201,6 +201,50 @@ def test_defects(answer, question, want):
     assert defects.defect(answer, question) == want
 
 
+# Refusals in phrasings that are not those of the test tables, and answers that must not be taken for any.
+HELD_OUT = """很抱歉，这个问题我没有办法给您一个明确的答复。|对此我不便发表评论。|恕我无法就此作出判断。|现有材料里找不到与此相关的记载。|原文中并未提到这味药的用量。|我没能力回答这类专业问题，请咨询医生。|不好意思，这个我答不了。|由于缺乏足够的信息，暂时不能得出结论。
+从所给文献看不出答案，资料不足。|此事我不敢妄下定论。|这类用药建议我不能提供，请遵医嘱。|对不起，本系统不会提供诊断建议。|所引段落没有涉及该方的出处。|依据不够充分，难以确定何者为君药。|我不知道。|这超出了我的知识范围。|此问题恕不作答。|目前没有线索可以说明这一点。|抱歉。我无法协助完成这个请求。|请另请高明。
+I'm sorry, I can't help with that.|Unfortunately, I am unable to give medical advice.|The passages do not contain enough information to answer this.|There is no mention of the dose in the text.|I would rather not speculate on this point.|I don't have enough information to determine which herb is meant.|As an AI model, I can't provide a diagnosis.|It is not possible to say from the given evidence.|I'm afraid I cannot comment on that.|The source does not specify an amount.
+I won't be able to respond to this question.|I have no idea.|Sorry, but I must decline to answer.|This is outside my area of expertise.|None of the excerpts address this question.|I am not qualified to advise on dosage; please consult a physician.|We could not determine the answer from the record.|I'd prefer not to discuss this topic.|Insufficient evidence to conclude.|I refuse to answer.
+申し訳ありませんが、その質問にはお答えできません。|この点については判断しかねます。|資料に記載がないため、回答を控えます。|すみません、分かりません。|該当する情報は見つかりませんでした。|診断に関する助言は提供できません。
+Das kann ich leider nicht beantworten.|Dazu liegen keine Informationen vor.|Je ne peux pas répondre à cette question.|No puedo responder a esa pregunta.""".replace("\n", "|").split("|")
+SOUND = """此方不宜久服，服三剂即止。|病人不能平卧，夜间咳嗽加重。|无汗者用麻黄，有汗者用桂枝。|服后未见好转，遂加荻梅一钱。|本方主治脾虚，亦可用于气虚。|案中没有便秘，故不用大黄。|孕妇不可服用此药。|无力者加黄芪。|The patient could not sleep and took the powder at dusk.|The decoction should not be boiled for long.|It does not dry the throat, so it suits the elderly.
+There is no fever in this case, and the pulse is thin.|Without ginger the formula is too cold.|この薬は妊婦には使えません。|痛みが取れないときは量を増やす。|未病先防，既病防变。|无毒，味甘，性平。|不作汤剂，只入丸散。|以荻梅为君，不用蕨茱。|The herb is not bitter.""".replace("\n", "|").split("|")
+
+
+def test_refusals_not_seen_before():
+    missed = [x for x in HELD_OUT if defects.diagnose(x, None)[0] != "refusal"]
+    assert len(HELD_OUT) >= 50 and len(missed) <= 0.05 * len(HELD_OUT), missed
+    assert not [x for x in SOUND if defects.diagnose(x, None)[0] == "refusal"]
+
+
+def test_habits_tell_a_cut_answer_from_a_whole_one(spark):
+    whole = [f"若证见{x}，可加荻梅一钱同煎服用。" for x in "头痛 咳嗽 口苦 目赤 便秘 自汗 耳鸣 腹冷".split()] * 30
+    rows = [(i, x) for i, x in enumerate(whole)] + [(100, "若证见头痛，可加荻梅一钱同煎"), (101, "若证见口苦，可加荻"), (102, "煎服甘平")]
+    df = spark.createDataFrame([(i, None, x) for i, x in rows], "answer_id long, qa_id string, answer string")
+    prompts = spark.createDataFrame([], "qa_id string, question string")
+    assert sorted(tuple(r) for r in defects.defective(df, prompts).collect()) == [(100, "truncated"), (101, "truncated")]
+    few = df.where("answer_id >= 100")
+    assert defects.defective(few, prompts).count() == 0  # nothing seen, nothing said
+
+
+def test_observed_endings_against_brute_force():
+    texts = ["甲乙，乙丙。", "乙丙", "丙x甲乙\n丁"]
+    _, (keys, yes, last, n) = defects.observe(texts)
+    got = {(chr(k) if k < 1 << 21 else (chr(k >> 21) if k >> 21 else "") + chr(k & 0x1FFFFF)): (int(a), int(b), int(c)) for k, a, b, c in zip(keys.tolist(), yes, last, n)}
+    want = defaultdict(lambda: [0, 0, 0])
+    for t in texts:
+        for i, c in enumerate(t):
+            if c >= "\u2e80" and c not in "，。":
+                for key in {c, (t[i - 1] if i else "") + c} if i else {c}:
+                    cell = want[key]
+                    cell[0] += i + 1 == len(t) or t[i + 1] in "，。\n"
+                    cell[1] += i + 1 == len(t)
+                    cell[2] += 1
+    for key, cell in want.items():
+        assert got[key] == tuple(cell) or len(key) == 1 and got[key][2] >= cell[2], key
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abc", max_size=12), st.text("abcd", max_size=15), st.integers(1, 4))
 def test_suffix_automaton_against_brute_force(prompt, response, least):
