@@ -220,11 +220,11 @@ def test_refusals_not_seen_before():
 
 def test_habits_tell_a_cut_answer_from_a_whole_one(spark):
     whole = [f"若证见{x}，可加荻梅一钱同煎服用。" for x in "头痛 咳嗽 口苦 目赤 便秘 自汗 耳鸣 腹冷".split()] * 30
-    rows = [(i, x) for i, x in enumerate(whole)] + [(100, "若证见头痛，可加荻梅一钱同煎"), (101, "若证见口苦，可加荻"), (102, "煎服甘平")]
+    rows = [(i, x) for i, x in enumerate(whole)] + [(1000, "若证见头痛，可加荻梅一钱同煎"), (1001, "若证见口苦，可加荻"), (1002, "煎服甘平")]
     df = spark.createDataFrame([(i, None, x) for i, x in rows], "answer_id long, qa_id string, answer string")
     prompts = spark.createDataFrame([], "qa_id string, question string")
-    assert sorted(tuple(r) for r in defects.defective(df, prompts).collect()) == [(100, "truncated"), (101, "truncated")]
-    few = df.where("answer_id >= 100")
+    assert sorted(tuple(r) for r in defects.defective(df, prompts).collect()) == [(1000, "truncated"), (1001, "truncated")]
+    few = df.where("answer_id >= 1000")
     assert defects.defective(few, prompts).count() == 0  # nothing seen, nothing said
 
 
