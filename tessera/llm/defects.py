@@ -352,6 +352,7 @@ def observe(texts: list[str]) -> tuple[dict[str, list[int]], tuple[np.ndarray, .
     at = np.flatnonzero(ink & (codes > 0x2E7F))
     ended, last = ~ink[at + 1], codes[at + 1] == 0
     before = np.where(at > 0, codes[np.maximum(at - 1, 0)], 0)
+    before = np.where(before == 0, 1, before)  # so that a pair is never taken for a character
     return opened, _merge([(np.concatenate([codes[at], (before << 21 | codes[at])]), *(np.r_[x, x].astype(float) for x in (ended, last, np.ones(len(at)))))])
 
 
@@ -366,7 +367,7 @@ def _observed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cell[1] += n
         ends = [_merge([*ends, counts])]
     for keys, yes, last, n in ends:
-        names = ["c" + chr(k) if k < 1 << 21 else "t" + (chr(k >> 21) if k >> 21 else "") + chr(k & 0x1FFFFF) for k in keys.tolist()]
+        names = ["c" + chr(k) if k < 1 << 21 else "t" + (chr(k >> 21) if k >> 21 > 1 else "") + chr(k & 0x1FFFFF) for k in keys.tolist()]
         yield _habit_rows(names, yes, last, n)
     if opened:
         yield _habit_rows(["o" + k for k in opened], [c[0] for c in opened.values()], [0] * len(opened), [c[1] for c in opened.values()])
