@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import is_blank
+from tessera.session import cut
 
 #: Ordinals of one block. A thread of any length is cut into blocks, so no task gets a whole long thread.
 BLOCK = 4096
@@ -132,7 +133,7 @@ def conversations(threads: DataFrame, messages: DataFrame, block: int = BLOCK) -
     The number comes from counts of whole blocks of ordinals and a window inside the block, so a thread of any length is
     spread over tasks. Cases as for left_out.
     """
-    m = _messages(messages, with_text=True)
+    m = cut(_messages(messages, with_text=True))  # read for the verdicts and for the turns
     good = _verdicts(threads, m.drop("speaker", "text"), block).where(F.col("reason").isNull()).select("thread_id")
     turns = m.where(F.col("symbol").isin("u", "a")).withColumn("block", F.floor(F.col("ordinal") / block))
     counts = turns.groupBy("thread_id", "block").agg(F.count(F.lit(1)).alias("n"))

@@ -26,6 +26,8 @@ from tessera.session import cut
 TERM, FIFTH = 4, 5
 #: Document frequencies are counted in this many hashed cells (2 to the power): a bound on what is broadcast.
 CELL_BITS = 18
+#: A term that stands more often than this, by its cell, is salted: its list is cut into so many parts, and probed in each.
+HOT_TERM = 50_000
 _STEP = 8_000_000
 
 
@@ -175,6 +177,20 @@ def document_frequencies(texts: DataFrame, text: str) -> np.ndarray:
 _POSTING = "term long, id long, length int, at int, nth int, sig1 long, sig2 long, " + ", ".join(f"{c} long" for c in SIDES) + ", own string"
 
 
+def _salted(grams: np.ndarray, cells: np.ndarray, ids: np.ndarray, index: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, how often each place is repeated): a hot term's list is cut by id, and a probe goes to each of its parts."""
+    parts = (cells[(grams >> np.uint64(64 - CELL_BITS)).astype(np.int64)] // HOT_TERM).astype(np.int64) + 1
+    if parts.max(initial=1) == 1:
+        return grams.ravel(), np.ones(grams.size, dtype=np.int64)
+    flat, parts = grams.ravel(), parts.ravel()
+    if index:
+        part = (np.repeat(ids.astype(np.uint64), grams.shape[1]) % parts.astype(np.uint64)).astype(np.uint64)
+        return flat ^ _mix(part) * (part > 0), np.ones(flat.size, dtype=np.int64)
+    first = np.cumsum(parts) - parts
+    part = (np.arange(parts.sum()) - np.repeat(first, parts)).astype(np.uint64)
+    return np.repeat(flat, parts) ^ _mix(part) * (part > 0), parts
+
+
 def _postings(it: Iterator[pa.RecordBatch], cells, index: bool) -> Iterator[pa.RecordBatch]:
     """Terms of texts (text, id, train, eval). Lists of train are probed by eval texts as long or shorter, and those of
     eval by train texts that are shorter; which lists are meant is part of the term."""
@@ -198,18 +214,23 @@ def _postings(it: Iterator[pa.RecordBatch], cells, index: bool) -> Iterator[pa.R
                     if not len(on):
                         continue
                     width = grams.shape[1]
-                    rep = lambda x: np.repeat(x[on], width)
+                    terms, times = _salted(grams[on], cells, ids[some][on], index)
+                    rep = lambda x: np.repeat(np.repeat(x[on], width), times)
+                    each = lambda x: np.repeat(np.ascontiguousarray(x[on]).ravel(), times)
+                    own = pa.nulls(len(terms), pa.string())
+                    if LONG < length <= CARRIED:
+                        own = pa.array([texts[i] for i in some[on]], pa.string()).take(pa.array(np.repeat(np.repeat(np.arange(len(on)), width), times)))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array((grams[on] ^ salt).ravel().view(np.int64)),
+                            pa.array((terms ^ salt).view(np.int64)),
                             pa.array(rep(ids[some])),
-                            pa.array(np.full(len(on) * width, length, dtype=np.int32)),
-                            pa.array(np.ascontiguousarray(at[on]).ravel().astype(np.int32)),
-                            pa.array(np.tile(np.arange(width, dtype=np.int32), len(on))),
+                            pa.array(np.full(len(terms), length, dtype=np.int32)),
+                            pa.array(each(at).astype(np.int32)),
+                            pa.array(np.repeat(np.tile(np.arange(width, dtype=np.int32), len(on)), times)),
                             pa.array(rep(sig1).view(np.int64)),
                             pa.array(rep(sig2).view(np.int64)),
-                            *[pa.array(np.ascontiguousarray(w[on]).ravel()) for w in around],
-                            pa.array([texts[i] for i in some[on] for _ in range(width)], pa.string()) if LONG < length <= CARRIED else pa.nulls(len(on) * width, pa.string()),
+                            *[pa.array(each(w)) for w in around],
+                            own,
                         ],
                         names=["term", "id", "length", "at", "nth", "sig1", "sig2", *SIDES, "own"],
                     )
@@ -220,32 +241,48 @@ def _weights(cells: np.ndarray) -> np.ndarray:
     return np.square(np.log1p(cells.sum() / np.maximum(cells, 1.0)))
 
 
-def exact_dot(a: str, b: str, weights: np.ndarray) -> tuple[float, float, float]:
-    """(dot product, least dot product of near texts, cosine) of two texts' weighted term vectors.
+def _occurrences(texts: list[str], q: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, weight) of all terms of some texts; the n-th occurrence of a term is a term of its own."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    if len(codes) < q:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0)
+    inside = owner[: len(owner) - q + 1] == owner[q - 1 :]
+    grams, owner = _grams(codes.reshape(1, -1), q)[0][inside], owner[: len(owner) - q + 1][inside]
+    order = np.lexsort((grams, owner))
+    grams, owner = grams[order], owner[order]
+    at = np.arange(len(grams))
+    first = np.r_[True, (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])] if len(grams) else np.zeros(0, dtype=bool)
+    nth = at - np.maximum.accumulate(np.where(first, at, 0)) if len(at) else at
+    return owner, _mix(grams + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), weights[(grams >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(float)
+
 
-    The n-th occurrence of a term is a term of its own, so equal terms have equal weights. Each edit spoils at most as many
-    terms of the longer text as a term has characters; what the heaviest ones weigh may be missing at most.
+def exact_dots(a: list[str], b: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(dot product, least dot product of near texts, cosine) of the weighted term vectors of pairs of texts, all at once.
+
+    Each edit spoils at most as many terms of the longer text as a term has characters; what the heaviest ones weigh may be
+    missing at most.
     """
-    longer, shorter = (a, b) if len(a) >= len(b) else (b, a)
-    q = term_length(len(longer))
-    x, y = _occurrences(longer, q, weights), _occurrences(shorter, q, weights)
-    dot = sum(w for t, w in x.items() if t in y)
-    heavy = sorted(x.values(), reverse=True)
-    norms = sum(heavy) * sum(y.values())
-    return dot, sum(heavy[q * edits(len(longer)) :]), dot / norms**0.5 if norms else 0.0
-
-
-def _occurrences(text: str, q: int, weights: np.ndarray) -> dict[tuple[int, int], float]:
-    if len(text) < q:
-        return {}
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64).reshape(1, -1)
-    grams = _grams(codes, q)[0]
-    seen: dict[int, int] = {}
-    out = {}
-    for g, w in zip(grams.tolist(), weights[(grams >> np.uint64(64 - CELL_BITS)).astype(np.int64)].tolist()):
-        seen[g] = seen.get(g, -1) + 1
-        out[(g, seen[g])] = w
-    return out
+    pairs = [(x, y) if len(x) >= len(y) else (y, x) for x, y in zip(a, b)]
+    dot, least, cosine = (np.zeros(len(pairs)) for _ in range(3))
+    sizes = np.array([term_length(len(x)) for x, _ in pairs], dtype=np.int64)
+    for q in np.unique(sizes):
+        some = np.flatnonzero(sizes == q)
+        n = len(some)
+        xo, xt, xw = _occurrences([pairs[i][0] for i in some], int(q), weights)
+        yo, yt, yw = _occurrences([pairs[i][1] for i in some], int(q), weights)
+        owner, term, side, w = np.r_[xo, yo], np.r_[xt, yt], np.r_[np.zeros(len(xo)), np.ones(len(yo))], np.r_[xw, yw]
+        order = np.lexsort((side, term, owner))
+        owner, term, side, w = owner[order], term[order], side[order], w[order]
+        both = np.flatnonzero((owner[1:] == owner[:-1]) & (term[1:] == term[:-1]) & (side[1:] != side[:-1]))
+        dot[some] = np.bincount(owner[both], w[both], n)
+        order = np.lexsort((-xw, xo))
+        place = np.arange(len(xo)) - np.searchsorted(xo[order], xo[order])
+        light = place >= q * np.array([edits(len(pairs[i][0])) for i in some])[xo[order]]
+        least[some] = np.bincount(xo[order][light], xw[order][light], n)
+        norms = np.sqrt(np.bincount(xo, xw, n) * np.bincount(yo, yw, n))
+        cosine[some] = np.divide(dot[some], norms, out=np.zeros(n), where=norms > 0)
+    return dot, least, cosine
 
 
 def near_texts(texts: DataFrame) -> DataFrame:
@@ -259,7 +296,7 @@ def near_texts(texts: DataFrame) -> DataFrame:
     cells = document_frequencies(t, "text")
     shared = spark.sparkContext.broadcast(cells)
     lists = t.mapInArrow(lambda it: _postings(it, shared.value, True), _POSTING).alias("x")
-    probes = t.mapInArrow(lambda it: _postings(it, None, False), _POSTING).alias("y")
+    probes = t.mapInArrow(lambda it: _postings(it, shared.value, False), _POSTING).alias("y")
     # "eval" lists are probed by strictly shorter texts; for equal lengths the lists of train suffice, so both may stay
     d = F.floor(F.col("x.length") / FIFTH)
     delta = F.col("y.length") - F.col("x.length")
@@ -303,7 +340,7 @@ def _dots(a: Column, b: Column, shared) -> Column:
     @F.pandas_udf("dot double, least double, cosine double")
     def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
         weights = _weights(shared.value)
-        return pd.DataFrame([exact_dot(p, q, weights) for p, q in zip(x, y)], columns=["dot", "least", "cosine"])
+        return pd.DataFrame(dict(zip(("dot", "least", "cosine"), exact_dots(list(x), list(y), weights))))
 
     return run(a, b)
 
@@ -338,6 +375,19 @@ def overlap_classes(pairs: DataFrame, train: tuple[str, ...] = ("train_pool",),
     return near_texts(_classes(_members(pairs, train, evals))).select("train_text", "eval_text", "distance", F.round("cosine", 6).alias("cosine"))
 
 
+def overlap_members(pairs: DataFrame, train: tuple[str, ...] = ("train_pool",), evals: tuple[str, ...] = ("dev", "test")) -> DataFrame:
+    """(qa_id, split, text, links): every record with its class, named by the folded text, and the number of classes across the
+    splits that are the same or near; 0 where there are none. With overlap_classes it says what found_pairs does, without
+    multiplying copies. Cases as for found_pairs; a record exported twice is one row a class and split.
+    """
+    members = cut(_members(pairs, train, evals))
+    near = cut(near_texts(_classes(members)))
+    of = lambda c, side: near.groupBy(F.col(c).alias("text")).agg(F.count(F.lit(1)).alias("links")).withColumn("train", F.lit(side))
+    links = of("train_text", True).unionByName(of("eval_text", False))
+    rows = members.select("qa_id", "split", "text", "train").distinct()
+    return rows.join(links, ["text", "train"], "left").select("qa_id", "split", "text", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def overlap_counts(pairs: DataFrame, train: tuple[str, ...] = ("train_pool",), evals: tuple[str, ...] = ("dev", "test")) -> DataFrame:
     """(split, source_doc_id, records, same, near): evaluation records by split and source, how many stand in train the same
     after folding, and how many nearly so but not the same. Copies aren't expanded into pairs. A null source is a source.

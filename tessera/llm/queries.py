@@ -72,6 +72,10 @@ def p6_classes(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_classes(table(spark, d, "tcm_qg_pairs"))
 
 
+def p6_members(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_members(table(spark, d, "tcm_qg_pairs"))
+
+
 def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_counts(table(spark, d, "tcm_qg_pairs"))
 
@@ -101,7 +105,7 @@ def p9_curves(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p3_found, p3_top, p3_skipping, p4_found, p5_found, p5_splits, p5_shares, p6_found, p6_classes, p6_counts, p7_ids, p8_containers, p8_fill, p8_choices, p9_found, p9_curves)}
+    return {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p3_found, p3_top, p3_skipping, p4_found, p5_found, p5_splits, p5_shares, p6_found, p6_classes, p6_members, p6_counts, p7_ids, p8_containers, p8_fill, p8_choices, p9_found, p9_curves)}
 
 
 _EDGE = r"[\s\p{Z}\p{Cc}\p{Cf}]"

@@ -362,11 +362,51 @@ def test_overlap_against_brute_force(spark):
     want = {tuple(sorted((a, b))) for (a, x), (b, y) in itertools.product(train, evals) if a != b and abs(len(x) - len(y)) * 5 <= max(len(x), len(y)) and 5 * levenshtein(x, y) <= max(len(x), len(y))}
     got = {tuple(r) for r in overlap.found_pairs(df).collect()}
     assert got == want and len(want) > 300
+    members = overlap.overlap_members(df).collect()
+    assert {r.qa_id for r in members if r.links and r.split == "train_pool"} <= {q for p in want for q in p} | {q for q, _ in train & evals} and all(r.links == 0 or r.text for r in members)
+    by = defaultdict(set)
+    for r in members:
+        by[r.split == "train_pool", r.text].add(r.qa_id)
+    classes = overlap.overlap_classes(df).collect()
+    assert {tuple(sorted((a, b))) for c in classes for a in by[True, c.train_text] for b in by[False, c.eval_text] if a != b} == want
     counts = overlap.overlap_counts(df).agg(F.sum("same"), F.sum("near"), F.sum("records")).first()
     assert counts[0] > 0 and counts[1] > 0 and counts[2] == len({q for q, _ in evals})
     assert overlap.found_pairs(df.limit(0)).count() == 0
 
 
+def test_hot_terms_are_salted(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(overlap, "HOT_TERM", 3)
+    grams, ids = np.array([[5, 5 << 46], [7, 5]], dtype=np.uint64), np.array([0, 1], dtype=np.int64)
+    cells = np.zeros(1 << overlap.CELL_BITS, dtype=np.float32)
+    cells[5] = 7
+    index, once = overlap._salted(grams, cells, ids, True)
+    probes, times = overlap._salted(grams, cells, ids, False)
+    assert list(times) == [1, 3, 1, 1] and list(once) == [1] * 4 and set(index) <= set(probes) and len(set(probes[1:4])) == 3
+    rows = [(f"q{i}", ("train_pool", "dev")[i % 2], f"今日天气甚好宜出门采药归来煎服第{chr(0x4E00 + i)}次记之") for i in range(40)]
+    df = spark.createDataFrame(rows, "qa_id string, split string, question string").withColumn("source_doc_id", F.lit("d"))
+    assert overlap.found_pairs(df).count() == 400
+
+
+def test_dots_against_brute_force():
+    import numpy as np
+
+    rng = random.Random(3)
+    weights = np.random.default_rng(3).uniform(0.5, 3, 1 << overlap.CELL_BITS)
+    a, b = (["".join(rng.choices("abcd", k=rng.randrange(0, 30))) for _ in range(60)] for _ in range(2))
+    a, b = zip(*[(x, y) for x, y in zip(a, b) if x or y])
+    for x, y, *got in zip(a, b, *overlap.exact_dots(list(a), list(b), weights)):
+        x, y = (x, y) if len(x) >= len(y) else (y, x)
+        q = overlap.term_length(len(x))
+        w = lambda t: weights[int(overlap._grams(np.array([[ord(c) for c in t]], dtype=np.uint64), q)[0, 0]) >> (64 - overlap.CELL_BITS)]
+        u, v = (Counter(t[i : i + q] for i in range(len(t) - q + 1)) for t in (x, y))
+        heavy = sorted((w(t) for t in u.elements()), reverse=True)
+        dot = sum(w(t) * n for t, n in (u & v).items())
+        norm = math.sqrt(sum(heavy) * sum(w(t) * n for t, n in v.items()))
+        assert np.allclose(got, [dot, sum(heavy[q * (len(x) // 5) :]), dot / norm if norm else 0])
+
+
 def test_a_question_of_one_character_forty_thousand_times(spark):
     import numpy as np
 
