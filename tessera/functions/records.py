@@ -24,7 +24,8 @@ def parts_text(parts: Column) -> Column:
 
 def question_list(items: Column, most: int = 3) -> Column:
     """Questions trimmed, without blanks and repeats, at most three."""
-    return F.slice(F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))), 1, most)
+    bare = F.transform(items, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    return F.slice(F.array_distinct(F.filter(bare, lambda x: x.isNotNull() & (x != ""))), 1, most)
 
 
 def excerpt(text: Column, head: int, tail: int) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -672,8 +673,10 @@ def event_totals(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import_module("tessera.evidence_queries")  # adds its own
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    import_module("tessera.evidence_queries")
     return dict(SQL)
