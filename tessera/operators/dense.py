@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries of one block. A block's matrix goes to the tasks; the corpus is read once a block and never repeated.
-BLOCK = 4096
+#: Queries and vectors of one block, about. A task multiplies one block of queries with one of the corpus.
+BLOCK, PART = 4096, 65_536
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -22,27 +22,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def dense_top_k(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """(query_id, key, rank, score): the k nearest other vectors of each query by cosine, ties by key.
 
-    Queries come in blocks of bounded size; each task scores its part of the corpus by one matrix product and keeps its own
-    k best a query, and a window merges them. Null, empty, zero and non-finite vectors take no part.
+    Queries and corpus are cut into blocks by hash; every pair of blocks meets in one task as a matrix product, which keeps its
+    own k best a query, and a window merges them. Nothing passes through the driver but two counts. Null, empty, zero and
+    non-finite vectors take no part.
     """
     ok = F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double"))) & F.exists(vector, lambda x: x != 0)
-    corpus, asked = vectors.where(F.col(key).isNotNull() & ok).select(key, vector), queries.where(F.col(key).isNotNull() & ok).select(key, vector)
-    spark = vectors.sparkSession
-    out, block = None, []
-    for row in [*asked.toLocalIterator(), None]:
-        if row is not None:
-            block.append(row)
-        if block and (row is None or len(block) == BLOCK):
-            ids = np.array([r[0] for r in block])
-            m = np.array([r[1] for r in block], dtype=np.float64)
-            shared = spark.sparkContext.broadcast((ids, m / np.linalg.norm(m, axis=1, keepdims=True)))
-            part = corpus.mapInArrow(lambda it, s=shared: _score(it, s.value, k), "query_id long, own long, score double").withColumnRenamed("own", key)
-            out = part if out is None else out.unionByName(part)
-            block = []
-    if out is None:
-        return spark.createDataFrame([], f"query_id long, {key} long, rank int, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", key, "rank", "score")
+    corpus, asked = vectors.where(F.col(key).isNotNull() & ok).select(F.col(key).alias("own"), F.col(vector).alias("v")), queries.where(F.col(key).isNotNull() & ok).select(F.col(key).alias("query_id"), F.col(vector).alias("v"))
+    blocks, parts = max(1, -(-asked.count() // BLOCK)), max(1, -(-corpus.count() // PART))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = asked.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("c", every(parts))
+    c = corpus.withColumn("c", F.pmod(F.xxhash64("own"), F.lit(parts)).cast("int")).withColumn("b", every(blocks))
+    best = q.groupBy("b", "c").cogroup(c.groupBy("b", "c")).applyInArrow(lambda x, y: _scored(x, y, k), "query_id long, own long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "own")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("own").alias(key), "rank", "score")
+
+
+def _scored(asked: pa.Table, corpus: pa.Table, k: int) -> pa.Table:
+    schema = pa.schema([("query_id", pa.int64()), ("own", pa.int64()), ("score", pa.float64())])
+    if not asked.num_rows or not corpus.num_rows:
+        return schema.empty_table()
+    m = _matrix(asked.column("v").combine_chunks())
+    ids = asked.column("query_id").to_numpy().astype(np.int64)
+    batches = corpus.select(["own", "v"]).combine_chunks().to_batches(max_chunksize=8192)
+    return pa.Table.from_batches(list(_score(iter(batches), (ids, m), k)), schema=schema)
 
 
 def _score(it: Iterator[pa.RecordBatch], asked: tuple[np.ndarray, np.ndarray], k: int) -> Iterator[pa.RecordBatch]:

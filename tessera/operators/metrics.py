@@ -26,9 +26,9 @@ METRICS = ("recall_1", "recall_5", "recall_10", "mrr_10", "ndcg_10")
 
 def sheet(each: DataFrame) -> DataFrame:
     """Means by strategy, by strategy and split, and in all, by grouping sets; null stands for "all"."""
-    each.createOrReplaceTempView("tessera_each")
-    means = ", ".join(f"round(avg({m}), 6) as {m}" for m in METRICS)
-    return each.sparkSession.sql(f"select strategy, split, count(*) as n, {means} from tessera_each group by grouping sets ((), (strategy), (strategy, split))")
+    by = F.col("strategy"), F.col("split")
+    sets = each.groupingSets([[], [by[0]], list(by)], *by)
+    return sets.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(m), 6).alias(m) for m in METRICS])
 
 
 def graded_ndcg(hits: DataFrame, relevance: DataFrame, k: int = 10) -> DataFrame:

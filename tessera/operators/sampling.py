@@ -50,9 +50,21 @@ def share_split(ids: DataFrame, key: str, dev: float, test: float, seed: str) ->
 
 
 def alternate(rows: DataFrame, strata: list[str], key: str, seed: str) -> DataFrame:
-    """Rows of each stratum in the order of their lots, to dev and test by turns."""
-    w = Window.partitionBy(*strata).orderBy(lot(seed, F.col(key)), key)
-    return rows.withColumn("side", F.when(F.pmod(F.row_number().over(w) - 1, F.lit(2)) == 0, "dev").otherwise("test"))
+    """Rows of each stratum in the order of their lots, to dev and test by turns.
+
+    A row's place in its stratum is its place in a range of lots, 4,096 of a stratum, and how many lie in the ranges before.
+    """
+    drawn = rows.withColumn("tessera_lot", lot(seed, F.col(key))).withColumn("tessera_range", F.substring("tessera_lot", 1, 3))
+    counts = drawn.groupBy(*strata, "tessera_range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*strata).orderBy("tessera_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(c).alias(f"tessera_{i}") for i, c in enumerate(strata)], F.col("tessera_range").alias("tessera_r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("tessera_offset"))
+    inside = Window.partitionBy(*strata, "tessera_range").orderBy("tessera_lot", key)
+    placed = drawn.withColumn("tessera_at", F.row_number().over(inside))
+    same = F.col("tessera_range") == F.col("tessera_r")
+    for i, c in enumerate(strata):
+        same = same & F.col(c).eqNullSafe(F.col(f"tessera_{i}"))
+    side = F.when(F.pmod(F.col("tessera_at") + F.col("tessera_offset") - 1, F.lit(2)) == 0, "dev").otherwise("test")
+    return placed.join(offsets, same).select(*rows.columns, side.alias("side"))
 
 
 def blind_labels(rows: DataFrame, key: str, method: str, seed: str) -> DataFrame:

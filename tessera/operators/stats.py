@@ -21,18 +21,48 @@ _BLOCK = 1 << 14
 _EACH = 100
 
 
-def nearest_rank(column: str, p: float) -> Column:
-    """The value at position ceil(p n) of the sorted values."""
-    return F.expr(f"percentile_disc({p}) within group (order by {column})")
+def beside(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Columns of two tables with one row a group side by side; null groups meet."""
+    other = b.select(*[F.col(c).alias(f"{c}_b") for c in by], *[c for c in b.columns if c not in by])
+    return a.join(other, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{c}_b")) for c in by]), "left").drop(*[f"{c}_b" for c in by])
+
+
+def quantiles(rows: DataFrame, by: list[str], column: str, wanted: dict[str, tuple[float, str]], width: float = 0.001) -> DataFrame:
+    """by and, for each name of ``wanted`` (p, kind), the exact quantile: "nearest" is the value at place ceil(p n), "between" the
+    linear interpolation at place 1 + p (n - 1). Null values take no part; a group without values has nulls.
+
+    An approximate quantile names a narrow band around each place (``width`` of the group's values on either side, ten times
+    the sketch's error); what lies below the band is only counted, and the few different values inside it, counted
+    too, are walked through in order. So a group's values are never gathered in one task.
+    """
+    x = F.col(column)
+    values = rows.where(x.isNotNull()).select(*by, x.alias("x"))
+    names = list(wanted)
+    edges = [e for n in names for e in (max(0.0, wanted[n][0] - width), min(1.0, wanted[n][0] + width))]
+    bands = values.groupBy(*by).agg(F.count(F.lit(1)).alias("all"), F.percentile_approx("x", F.array(*map(F.lit, edges)), F.lit(10_000)).alias("edges"))
+    of = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(wanted[n][0]).alias("p"), F.lit(wanted[n][1] == "nearest").alias("nearest"), F.get("edges", F.lit(2 * i)).alias("lo"), F.get("edges", F.lit(2 * i + 1)).alias("hi")) for i, n in enumerate(names)])
+    each = beside(values, bands, by).withColumn("w", F.explode(of)).select(*by, "x", "all", "w.*")
+    # one value stands for all below the band, so each band has few rows
+    each = each.where("x <= hi").withColumn("v", F.when(F.col("x") >= F.col("lo"), F.col("x")))
+    counts = each.groupBy(*by, "name", "p", "nearest", "all", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*by, "name").orderBy(F.asc_nulls_first("v"))))
+    low = F.when(F.col("nearest"), F.ceil(F.col("p") * F.col("all"))).otherwise(F.floor(F.col("p") * (F.col("all") - 1)) + 1)
+    part = F.col("p") * (F.col("all") - 1) + 1 - low
+    at = lambda place: F.min(F.when(F.col("v").isNotNull() & (F.col("upto") >= place), F.col("v")))
+    found = upto.groupBy(*by, "name").agg(at(F.greatest(low, F.lit(1))).alias("one"), at(low + 1).alias("two"), F.max(F.when(F.col("nearest"), 0.0).otherwise(part)).alias("part"))
+    value = F.when(F.col("part") > 0, F.col("one") + (F.col("two") - F.col("one")) * F.col("part")).otherwise(F.col("one"))
+    wide = found.withColumn("value", value).groupBy(*by).agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
+    return beside(rows.select(*by).distinct(), wide, by)
 
 
 def length_report(rows: DataFrame, by: list[str], length: str) -> DataFrame:
     """count, mean, median, nearest-rank p95, min, max and shares below 100 and above 500 of lengths."""
     n = F.col(length)
-    return rows.groupBy(*by).agg(
-        F.count(n).alias("n"), F.round(F.avg(n), 6).alias("mean"), F.expr(f"percentile({length}, 0.5)").alias("median"), nearest_rank(length, 0.95).alias("p95"),
+    out = rows.groupBy(*by).agg(
+        F.count(n).alias("n"), F.round(F.avg(n), 6).alias("mean"),
         F.min(n).alias("least"), F.max(n).alias("most"), F.round(F.avg((n < 100).cast("int")), 6).alias("below_100"), F.round(F.avg((n > 500).cast("int")), 6).alias("above_500"),
     )
+    return beside(out, quantiles(rows, by, length, {"median": (0.5, "between"), "p95": (0.95, "nearest")}), by)
 
 
 def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -56,10 +86,12 @@ def calibrate(rows: DataFrame, score: str, good: str) -> DataFrame:
     """(threshold, balanced_accuracy): the threshold that separates good from bad rows best, the higher one of equal ones.
 
     Candidates are the scores themselves and the middles between neighbours. Counts at or above each score come from one
-    running sum over distinct scores, in ranges of scores so that no task sees them all.
+    running sum over distinct scores, in 256 ranges cut at quantiles of them, so that no task sees them all.
     """
     points = rows.where(f"{score} is not null and not isnan({score}) and {good} is not null").groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(good)).alias("g"), F.count_if(~F.col(good)).alias("b"))
-    points = points.withColumn("range", F.floor(F.col("s")))
+    points = cut(points)
+    edges = points.agg(F.percentile_approx("s", F.array(*[F.lit(i / 256) for i in range(1, 256)]), F.lit(10_000))).first()[0] or []
+    points = points.withColumn("range", F.size(F.filter(F.array(*[F.lit(float(e)) for e in sorted(set(edges))]), lambda e: e <= F.col("s"))) if edges else F.lit(0))
     sums = points.groupBy("range").agg(F.sum("g").alias("rg"), F.sum("b").alias("rb"), F.min("s").alias("first"))
     later = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.orderBy("range")

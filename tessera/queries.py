@@ -269,12 +269,17 @@ def traceability(spark, d):
 @query("""select strategy, count(score) as n, min(score) as least, round(median(score), 6) as middle, max(score) as most from tcm_qg_hits where score is not null and not isnan(score) group by 1""")
 def score_distribution(spark, d):
     ok = table(spark, d, "tcm_qg_hits", "strategy", "score").where("score is not null and not isnan(score)")
-    return ok.groupBy("strategy").agg(F.count("score").alias("n"), F.min("score").alias("least"), F.round(F.expr("percentile(score, 0.5)"), 6).alias("middle"), F.max("score").alias("most"))
+    middle = stats.quantiles(ok, ["strategy"], "score", {"middle": (0.5, "between")})
+    out = ok.groupBy("strategy").agg(F.count("score").alias("n"), F.min("score").alias("least"), F.max("score").alias("most"))
+    return stats.beside(out, middle, ["strategy"]).withColumn("middle", F.round("middle", 6))
 
 
 @query(f"with {_ANSWERS} select method, count(latency_ms) as n, round(avg(latency_ms), 4) as mean, round(median(latency_ms), 4) as middle, quantile_disc(latency_ms, 0.95) as p95, max(latency_ms) as most from answers group by 1")
 def latency_summary(spark, d):
-    return _answers(spark, d).groupBy("method").agg(F.count("latency_ms").alias("n"), F.round(F.avg("latency_ms"), 4).alias("mean"), F.round(F.expr("percentile(latency_ms, 0.5)"), 4).alias("middle"), stats.nearest_rank("latency_ms", 0.95).alias("p95"), F.max("latency_ms").alias("most"))
+    a = _answers(spark, d).select("method", "latency_ms")
+    out = a.groupBy("method").agg(F.count("latency_ms").alias("n"), F.round(F.avg("latency_ms"), 4).alias("mean"), F.max("latency_ms").alias("most"))
+    at = stats.quantiles(a, ["method"], "latency_ms", {"middle": (0.5, "between"), "p95": (0.95, "nearest")})
+    return stats.beside(out, at, ["method"]).withColumn("middle", F.round("middle", 4))
 
 
 # ---- answers ----
@@ -295,8 +300,7 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored_answers(spark: SparkSession, d: str) -> DataFrame:
     j = _judged(spark, d)
-    f1 = answers.char_f1(j, ["answer_id"], "answer", "reference")
-    return j.join(f1, "answer_id").withColumn("said", answers.plain(F.col("answer"))).withColumn("exact", (F.col("said") == answers.plain(F.col("reference"))).cast("int"))
+    return j.withColumn("f1", answers.f1_of(F.col("answer"), F.col("reference"))).withColumn("said", answers.plain(F.col("answer"))).withColumn("exact", (F.col("said") == answers.plain(F.col("reference"))).cast("int"))
 
 
 @query(_JUDGED + "select answer_id, (said = reference)::int as exact, round(f1, 6) as f1 from f")

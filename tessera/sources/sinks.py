@@ -33,16 +33,18 @@ def read_version(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _put(spark: SparkSession, path: str, text: str) -> None:
-    """Replace a small file by writing beside it and renaming."""
+    """Replace a small file by writing beside it and renaming over it, which readers see as a whole or not at all."""
     jvm = spark.sparkContext._jvm
     target, fresh = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.tmp-{uuid.uuid4().hex}")
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     out = fs.create(fresh, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(fresh, target)
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(target), how)
 
 
 def write_manifest(spark: SparkSession, path: str, payload: dict) -> None:
