@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.text import is_blank
+
 # Names of speakers as clients and models write them.
 SPEAKERS = {"human": "user", "user": "user", "ai": "assistant", "assistant": "assistant", "system": "system", "tool": "tool"}
 #: Text of an answer that declines.
@@ -68,7 +70,7 @@ def model_answer(output: Column, labels: Column) -> Column:
     violation = (
         F.when(a.isNull() | (a["answer"].isNull() & a["abstain"].isNull() & a["citations"].isNull()), "not_json")
         .when(abstain, F.lit(None).cast("string"))
-        .when(F.coalesce(F.trim(a["answer"]) == "", F.lit(True)), "no_answer")
+        .when(is_blank(a["answer"]), "no_answer")
         .when(F.size(cited) == 0, "no_citation")
         .when(F.size(F.array_except(cited, labels)) > 0, "unknown_label")
     )

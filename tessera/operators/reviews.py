@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,25 @@ def rates(rows: DataFrame, by: list[str], labels: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[one(c) for c in labels])
 
 
+def normal_label(value: Column, numbers: dict[str, str]) -> Column:
+    """A cell in lower case without outer blanks, numbers by the column's table; null for a blank one."""
+    low = F.lower(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""))
+    named = F.element_at(F.create_map(*[F.lit(x) for kv in numbers.items() for x in kv]), low)
+    return F.when(low != "", F.coalesce(named, low))
+
+
+def summary(rows: DataFrame, by: list[str], yes: dict[str, str], scored: str, scores: int) -> DataFrame:
+    """by, rows_n, completed, a rate of "yes" among yes and no for each column of ``yes`` under its name there, and how many rows have each score.
+
+    A row is completed when none of these cells is null; not_applicable cells count in no rate, and no cells give null.
+    """
+    whole = F.col(scored).isNotNull()
+    for c in yes:
+        whole = whole & F.col(c).isNotNull()
+    rate = lambda c: F.round(F.count_if(F.col(c) == "yes") / F.nullif(F.count_if(F.col(c).isin("yes", "no")), F.lit(0)), 6)
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows_n"), F.count_if(whole).alias("completed"), *[rate(c).alias(name) for c, name in yes.items()], *[F.count_if(F.col(scored) == f"score_{k}").alias(f"score_{k}") for k in range(scores)])
+
+
 def quota_gaps(rows: DataFrame, quotas: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, wanted, got): strata whose number of rows isn't the wanted one, on either side."""
     got = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("got"))

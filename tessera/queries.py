@@ -677,10 +677,10 @@ def event_totals(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import_module("tessera.evidence_queries")  # adds its own
+    import_module("tessera.record_queries")  # adds its own and those of evidence_queries
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    import_module("tessera.evidence_queries")
+    import_module("tessera.record_queries")
     return dict(SQL)
