@@ -174,7 +174,8 @@ def document_frequencies(texts: DataFrame, text: str) -> np.ndarray:
     return cells
 
 
-_POSTING = "term long, id long, length int, at int, nth int, sig1 long, sig2 long, " + ", ".join(f"{c} long" for c in SIDES) + ", own string"
+_NARROW = "term long, id long, length int, at int, nth int, sig1 long, sig2 long"
+_POSTING = f"{_NARROW}, " + ", ".join(f"{c} long" for c in SIDES) + ", own string"
 
 
 def _salted(grams: np.ndarray, cells: np.ndarray, ids: np.ndarray, index: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -191,9 +192,9 @@ def _salted(grams: np.ndarray, cells: np.ndarray, ids: np.ndarray, index: bool)
     return np.repeat(flat, parts) ^ _mix(part) * (part > 0), parts
 
 
-def _postings(it: Iterator[pa.RecordBatch], cells, index: bool) -> Iterator[pa.RecordBatch]:
+def _postings(it: Iterator[pa.RecordBatch], cells, index: bool, wide: bool) -> Iterator[pa.RecordBatch]:
     """Terms of texts (text, id, train, eval). Lists of train are probed by eval texts as long or shorter, and those of
-    eval by train texts that are shorter; which lists are meant is part of the term."""
+    eval by train texts that are shorter; which lists are meant is part of the term. ``wide``: with what stands around."""
     for batch in it:
         frame = {c: batch.column(c) for c in ("text", "id", "train", "eval")}
         texts = frame["text"].to_pylist()
@@ -208,7 +209,7 @@ def _postings(it: Iterator[pa.RecordBatch], cells, index: bool) -> Iterator[pa.R
                     grams = np.take_along_axis(grams, at, axis=1)
                 else:
                     at = np.broadcast_to(np.arange(grams.shape[1], dtype=np.int32), grams.shape)
-                around = [w.reshape(at.shape) for w in _sides(codes, at, q)]
+                around = [w.reshape(at.shape) for w in _sides(codes, at, q)] if wide else []
                 for flag, salt in sides:
                     on = np.flatnonzero(flag[some])
                     if not len(on):
@@ -217,23 +218,20 @@ def _postings(it: Iterator[pa.RecordBatch], cells, index: bool) -> Iterator[pa.R
                     terms, times = _salted(grams[on], cells, ids[some][on], index)
                     rep = lambda x: np.repeat(np.repeat(x[on], width), times)
                     each = lambda x: np.repeat(np.ascontiguousarray(x[on]).ravel(), times)
-                    own = pa.nulls(len(terms), pa.string())
-                    if LONG < length <= CARRIED:
-                        own = pa.array([texts[i] for i in some[on]], pa.string()).take(pa.array(np.repeat(np.repeat(np.arange(len(on)), width), times)))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array((terms ^ salt).view(np.int64)),
-                            pa.array(rep(ids[some])),
-                            pa.array(np.full(len(terms), length, dtype=np.int32)),
-                            pa.array(each(at).astype(np.int32)),
-                            pa.array(np.repeat(np.tile(np.arange(width, dtype=np.int32), len(on)), times)),
-                            pa.array(rep(sig1).view(np.int64)),
-                            pa.array(rep(sig2).view(np.int64)),
-                            *[pa.array(each(w)) for w in around],
-                            own,
-                        ],
-                        names=["term", "id", "length", "at", "nth", "sig1", "sig2", *SIDES, "own"],
-                    )
+                    columns = [
+                        pa.array((terms ^ salt).view(np.int64)),
+                        pa.array(rep(ids[some])),
+                        pa.array(np.full(len(terms), length, dtype=np.int32)),
+                        pa.array(each(at).astype(np.int32)),
+                        pa.array(np.repeat(np.tile(np.arange(width, dtype=np.int32), len(on)), times)),
+                        pa.array(rep(sig1).view(np.int64)),
+                        pa.array(rep(sig2).view(np.int64)),
+                    ]
+                    if wide:
+                        columns += [pa.array(each(w)) for w in around]
+                        own = pa.array([texts[i] for i in some[on]], pa.string()) if length <= CARRIED else pa.nulls(len(on), pa.string())
+                        columns.append(own.take(pa.array(np.repeat(np.repeat(np.arange(len(on)), width), times))))
+                    yield pa.RecordBatch.from_arrays(columns, names=["term", "id", "length", "at", "nth", "sig1", "sig2", *([*SIDES, "own"] if wide else [])])
 
 
 def _weights(cells: np.ndarray) -> np.ndarray:
@@ -295,8 +293,11 @@ def near_texts(texts: DataFrame) -> DataFrame:
     t = texts.where(F.length("text") > 0).select("text", F.xxhash64("text").alias("id"), "train", "eval")
     cells = document_frequencies(t, "text")
     shared = spark.sparkContext.broadcast(cells)
-    lists = t.mapInArrow(lambda it: _postings(it, shared.value, True), _POSTING).alias("x")
-    probes = t.mapInArrow(lambda it: _postings(it, shared.value, False), _POSTING).alias("y")
+
+    def postings(some: DataFrame, index: bool, wide: bool) -> DataFrame:
+        return some.mapInArrow(lambda it: _postings(it, shared.value, index, wide), _POSTING if wide else _NARROW).alias("x" if index else "y")
+
+    short, long = t.where(F.length("text") <= LONG), t.where(F.length("text") > LONG)
     # "eval" lists are probed by strictly shorter texts; for equal lengths the lists of train suffice, so both may stay
     d = F.floor(F.col("x.length") / FIFTH)
     delta = F.col("y.length") - F.col("x.length")
@@ -306,9 +307,14 @@ def near_texts(texts: DataFrame) -> DataFrame:
     # most so many edits lie on its left as terms do, the rest on its right; edits on a side bound the shift on that side
     left, right = F.col("x.nth"), d - F.col("x.nth")
     near = (delta <= 0) & (-delta <= d) & (F.abs(shift) <= left) & (F.abs(delta - shift) <= right) & (flips <= 2 * d)
-    near &= (F.col("y.length") <= LONG) | ((_bits("l") <= 2 * left) & (_bits("r") <= 2 * right) & (F.col("x.own").isNull() | F.col("y.own").isNull() | F.expr(_AROUND)))
-    # sizes of what Python yields are guessed too low, so no side may be broadcast on a guess
-    ids = lists.join(probes.hint("merge"), (F.col("x.term") == F.col("y.term")) & near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    sides = (_bits("l") <= 2 * left) & (_bits("r") <= 2 * right) & (F.col("x.own").isNull() | F.col("y.own").isNull() | F.expr(_AROUND))
+    same = F.col("x.term") == F.col("y.term")
+    # of two long texts the characters around the term are compared too; lists for the others don't carry any. Sizes of
+    # what Python yields are guessed too low, so no side may be broadcast on a guess
+    plain = postings(t, True, False).join(postings(short, False, False).hint("merge"), same & near)
+    both_long = postings(long, True, True).join(postings(long, False, True).hint("merge"), same & near & sides)
+    named = lambda found: found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    ids = named(plain).unionByName(named(both_long)).distinct()
     one, two = t.select(F.col("id").alias("a"), F.col("text").alias("a_text"), F.col("train").alias("a_train"), F.col("eval").alias("a_eval")), t.select(F.col("id").alias("b"), F.col("text").alias("b_text"), F.col("train").alias("b_train"), F.col("eval").alias("b_eval"))
     pairs = ids.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
     most = f"cast(greatest(length(a_text), length(b_text)) div {FIFTH} as int)"
