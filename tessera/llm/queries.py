@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import NARROW, WIDE
+from tessera.functions.text import NARROW, WIDE, clean_id
 from tessera.llm import conversations, defects, overlap, packing, splits, splitting, stuffing, tokenize, topn
 from tessera.session import cut
 from tessera.sources.tables import table
@@ -36,6 +36,18 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(_items(spark, d), table(spark, d, "size_limits"))
 
 
+def p2_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What holds for all pieces: none exceeds the limit, all share the overlap, and together they are the text."""
+    limits = table(spark, d, "size_limits").select("item_kind", "max_chars", "overlap_chars")
+    p = p2_pieces(spark, d).join(F.broadcast(limits), "item_kind")
+    new = F.when(F.col("piece") == 0, F.col("text")).otherwise(F.expr("substring(text, overlap_chars + 1)"))
+    each = p.groupBy("item_kind", "item_id").agg(
+        F.max((F.length("text") > F.col("max_chars")).cast("int")).alias("too_long"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", new.alias("new")))), lambda x: x["new"]), "").alias("whole"),  # the pieces of one item
+    )
+    return each.select("item_kind", "item_id", "too_long", F.sha2("whole", 256).alias("fingerprint"))
+
+
 def p3_top(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(table(spark, d, "tcm_qg_hits"), 5, "parent_id", "score", ["rank", "hit_id"], ["qa_id", "strategy", "chunk_id"])
 
@@ -64,6 +76,14 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_report(p5_splits(spark, d), table(spark, d, "split_plan"))
 
 
+def p5_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What holds for the new splits: every record has one, and no document is parted."""
+    r = p5_splits(spark, d).select(clean_id(F.col("source_doc_id")).alias("doc"), "new_split")
+    docs = r.where("doc is not null").groupBy("doc").agg(F.countDistinct("new_split").alias("n"))
+    parted = docs.agg(F.count_if(F.col("n") > 1).alias("parted"), F.count(F.lit(1)).alias("documents"))
+    return r.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("new_split").isNull()).alias("unplaced")).join(parted.hint("broadcast"))  # one row each
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.found_pairs(table(spark, d, "tcm_qg_pairs"))
 
@@ -84,6 +104,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.token_ids(table(spark, d, "documents"))
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, n_bytes, fingerprint) of the texts that the ids decode to; null and empty texts come back empty."""
+    return tokenize.decoded(p7_ids(spark, d)).select("doc_id", F.octet_length("text").alias("n_bytes"), F.sha2("text", 256).alias("fingerprint"))
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(cut(tokenize.token_counts(table(spark, d, "documents"))))
 
@@ -92,6 +117,16 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, d))
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What holds for containers: every document lies in some or has no token, none exceeds 2,048 tokens, no item lies over another,
+    and only longer documents are divided."""
+    placed = cut(p8_containers(spark, d))
+    inside = placed.where("container is not null").groupBy("container").agg(F.sum("n").alias("tokens"), F.max(F.col("container_start") + F.col("n")).alias("end"))
+    full = inside.agg(F.count_if((F.col("tokens") > 2048) | (F.col("end") > 2048) | (F.col("end") < F.col("tokens"))).alias("overfull"))
+    docs = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("tokens"))
+    return docs.agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("parts") > 1) & (F.col("tokens") <= 2048)).alias("divided")).join(full.hint("broadcast"))  # one row each
+
+
 def p8_choices(spark: SparkSession, d: str) -> DataFrame:
     return packing.choices(tokenize.token_counts(table(spark, d, "documents")))
 
@@ -105,7 +140,7 @@ def p9_curves(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p3_found, p3_top, p3_skipping, p4_found, p5_found, p5_splits, p5_shares, p6_found, p6_classes, p6_members, p6_counts, p7_ids, p8_containers, p8_fill, p8_choices, p9_found, p9_curves)}
+    return {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p2_checks, p3_found, p3_top, p3_skipping, p4_found, p5_found, p5_splits, p5_shares, p5_checks, p6_found, p6_classes, p6_members, p6_counts, p7_ids, p7_checks, p8_containers, p8_checks, p8_fill, p8_choices, p9_found, p9_curves)}
 
 
 _EDGE = r"[\s\p{Z}\p{Cc}\p{Cf}]"
@@ -153,4 +188,9 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": _P3 + "select parent_id, hit_id from p where place <= 5",
         "p3_top": _P3 + "select parent_id, rank, hit_id, score, place::int as place from p where place <= 5",
         "p5_found": _P5,
+        "p2_checks": "select 'parent' as item_kind, parent_id as item_id, 0 as too_long, sha256(arg_max(original_text, length(original_text))) as fingerprint from evidence_parents, size_limits where item_kind = 'parent' and length(original_text) > max_chars group by 2 "
+        "union all select 'chunk', chunk_id, 0, sha256(arg_max(text, length(text))) from retrieval_chunks, size_limits where item_kind = 'chunk' and length(text) > max_chars group by 2",
+        "p5_checks": f"select count(*) as records, 0 as unplaced, 0 as parted, count(distinct {_clean('source_doc_id')}) as documents from tcm_qg_pairs",
+        "p7_checks": "select doc_id, strlen(coalesce(text, ''))::int as n_bytes, sha256(coalesce(text, '')) as fingerprint from documents",
+        "p8_checks": "select count(*) as documents, 0 as divided, 0 as overfull from documents",
     }

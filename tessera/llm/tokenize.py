@@ -204,3 +204,17 @@ def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", path: st
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """(key, n_tokens) of each row; of texts within a block only the lengths leave the Python workers. Cases as for token_ids."""
     return _over(docs, key, text, path, leaf, block, True, "n_tokens")
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    enc = encoder(path)
+    for batch in batches:
+        *others, ids = batch.columns
+        yield pa.RecordBatch.from_arrays([*others, pa.array([decode(x, enc) if x else "" for x in ids.to_pylist()], pa.string())], names=batch.schema.names)
+
+
+def decoded(ids: DataFrame, key: str = "doc_id", name: str = "ids", path: str | None = None) -> DataFrame:
+    """(key, text): the texts of lists of ids; a null or empty list is an empty text. Ids that are no text are an error."""
+    path = path or default_vocabulary()
+    rows = ids.select(F.col(key).alias("key"), F.col(name).alias("text"))
+    return rows.mapInArrow(lambda it: _decoded(it, path), _with(rows.schema, T.StringType())).select(F.col("key").alias(key), "text")
