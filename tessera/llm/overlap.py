@@ -98,7 +98,7 @@ SIDES = [f"{side}{k}" for side in "lr" for k in range(4)]
 def _sides(codes: np.ndarray, at: np.ndarray, q: int) -> list[np.ndarray]:
     """Eight words a term: counts up to 8 of 32 classes of characters left and right of it, one bit a character.
 
-    The bits in which two such counts differ are at most twice the edits on that side.
+    The bits in which two such counts differ are at most twice the edits on that side, less what its length changes by.
     """
     n, length = codes.shape
     if length <= LONG:
@@ -304,10 +304,11 @@ def near_texts(texts: DataFrame) -> DataFrame:
     shift = F.col("y.at") - F.col("x.at")
     flips = F.bit_count(F.col("x.sig1").bitwiseXOR(F.col("y.sig1"))) + F.bit_count(F.col("x.sig2").bitwiseXOR(F.col("y.sig2")))
     # of the disjoint terms take the first before whose end no more edits lie than terms before it: it stands whole, and at
-    # most so many edits lie on its left as terms do, the rest on its right; edits on a side bound the shift on that side
+    # most so many edits lie on its left as terms do, the rest on its right; edits on a side bound the shift on that side. Of
+    # e edits that change a length by s at least s add or drop a character, so counts of characters differ by 2 e - s at most
     left, right = F.col("x.nth"), d - F.col("x.nth")
-    near = (delta <= 0) & (-delta <= d) & (F.abs(shift) <= left) & (F.abs(delta - shift) <= right) & (flips <= 2 * d)
-    sides = (_bits("l") <= 2 * left) & (_bits("r") <= 2 * right) & (F.col("x.own").isNull() | F.col("y.own").isNull() | F.expr(_AROUND))
+    near = (delta <= 0) & (-delta <= d) & (F.abs(shift) <= left) & (F.abs(delta - shift) <= right) & (flips <= 2 * d + delta)
+    sides = (_bits("l") <= 2 * left - F.abs(shift)) & (_bits("r") <= 2 * right - F.abs(delta - shift)) & (F.col("x.own").isNull() | F.col("y.own").isNull() | F.expr(_AROUND))
     same = F.col("x.term") == F.col("y.term")
     # of two long texts the characters around the term are compared too; lists for the others don't carry any. Sizes of
     # what Python yields are guessed too low, so no side may be broadcast on a guess
