@@ -283,3 +283,19 @@ def strict_recovery(spark, d):
     parents = lists.where("parent_id is not null").select("parent_id", F.lit(True).alias("known")).distinct()
     best = fusion.recover_parents(lists, parents, 10, strict=True)
     return best.groupBy("strategy").agg(F.count(F.lit(1)).alias("kept"), F.count_if(F.col("known").isNull()).alias("without_parent"), F.count_if(F.col("place") == 1).alias("firsts"))
+
+
+# ---- trace events ----
+
+
+@query(
+    f"""with m as (select run_id, ordinal, tool_calls, type, content, name, case when run_id is null then {_clean('thread_id')} end as thread from app_messages), c as (select run_id, thread, unnest(from_json(tool_calls, '["json"]')) as c from m where starts_with(tool_calls, '['))
+select run_id, thread, concat_ws(':', 'tool_call', c->>'$.id', c->>'$.name') as event_key, 'tool_call' as event from c group by all union all
+select run_id, thread, concat_ws(':', 'tool_result', ordinal::varchar, coalesce(name, ''), substr(md5(substr(content, 1, 500)), 1, 8)), 'tool_result' from m where lower(trim(type)) = 'tool' group by all"""
+)
+def trace_events(spark, d):
+    """Each call and result of a tool once a run, or once a thread where the run is null; results are told apart by their place."""
+    from tessera.streaming import trace
+
+    m = table(spark, d, "app_messages", "run_id", "thread_id", "ordinal", "tool_calls", "type", "content", "name")
+    return trace.distinct_events(m).select("run_id", F.col("thread_id").alias("thread"), "event_key", "event")
