@@ -14,6 +14,12 @@ def checks(*counted: tuple[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+def counts(rows: DataFrame, **broken: Column) -> DataFrame:
+    """(check, violations): how many rows break each named rule, in one pass over the table; an unknown outcome isn't a breach."""
+    each = [F.struct(F.lit(name).alias("check"), F.count_if(F.coalesce(rule, F.lit(False))).alias("violations")) for name, rule in broken.items()]
+    return rows.agg(F.array(*each).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
 def duplicate_surplus(df: DataFrame, key: str) -> DataFrame:
     """(surplus): rows beyond the first of each key; a null key is a key."""
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") - 1).alias("surplus"))

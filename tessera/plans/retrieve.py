@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.fusion import RRF_K
 
+Leg = Callable[[], DataFrame]
 MODES = ("bm25", "dense", "hybrid", "bm25_rerank", "dense_rerank", "hybrid_rerank")
 
 
@@ -55,6 +57,52 @@ def matrix(candidates: DataFrame, scores: DataFrame, top: int, modes: tuple[str,
     return reduce(DataFrame.unionByName, [retrieve(candidates, scores, m, top) for m in modes])
 
 
+def _answered(df: DataFrame, mode: str, why: str | None, top: int) -> DataFrame:
+    return df.where(F.col("place") <= top).select("qa_id", "chunk_id", "place", "score", F.lit(mode).alias("mode"), F.lit(why is not None).alias("degraded"), F.lit(why).cast("string").alias("reason"))
+
+
+def serve(keywords: Leg, dense: Leg, reranked: Callable[[DataFrame], DataFrame], mode: str, top: int, cap: int = 40) -> DataFrame:
+    """(qa_id, chunk_id, place, score, mode, degraded, reason) as the service over files answers: by keyword, vector or hybrid.
+
+    A leg is a function that plans (qa_id, chunk_id, place, base); ``reranked`` gives candidates (…, place, base) their
+    rerank_score. Only hybrid reranks. Where the dense leg or the reranker can't be planned (a model or an index is missing),
+    the answer is that of the keyword leg with a score of 0, marked as degraded with the name of the error. Failures of single
+    tasks are Spark's to repeat.
+    """
+    if mode not in ("hybrid", "vector", "keyword"):
+        raise ValueError(f"no such mode: {mode}")
+    if mode == "keyword":
+        return _answered(keywords().withColumn("score", F.col("base")), mode, None, top)
+    try:
+        if mode == "vector":
+            found = dense().withColumn("score", F.col("base"))
+        else:
+            few = fuse([keywords(), dense()]).where(F.col("place") <= cap)
+            scored = reranked(few).withColumn("score", F.col("rerank_score"))
+            found = _place(scored, F.desc_nulls_last("rerank_score"), F.desc("base"), F.col("chunk_id"))
+        return _answered(found, mode, None, top)
+    except Exception as problem:
+        return _answered(keywords().withColumn("score", F.lit(0.0)), "keyword", type(problem).__name__, top)
+
+
+def serve_from_database(keywords: Leg, dense: Leg, reranked: Callable[[DataFrame], DataFrame], mode: str, top: int, cap: int = 40) -> DataFrame:
+    """The same columns as the service over a database answers: all modes rerank, a keyword leg that can't be planned leaves the
+    vector leg (degraded), and a dense leg that can't be planned is an error."""
+    if mode not in ("hybrid", "vector", "keyword"):
+        raise ValueError(f"no such mode: {mode}")
+    legs, why, used = [], None, mode
+    if mode != "vector":
+        try:
+            legs.append(keywords())
+        except Exception as problem:
+            why, used = type(problem).__name__, "vector"
+    if mode != "keyword" or why:
+        legs.append(dense())
+    few = (fuse(legs) if len(legs) > 1 else legs[0]).where(F.col("place") <= cap)
+    scored = reranked(few).withColumn("score", F.col("rerank_score"))
+    return _answered(_place(scored, F.desc_nulls_last("rerank_score"), F.desc("base"), F.col("chunk_id")), used, why, top)
+
+
 def degrading(plan: DataFrame | None, fallback: DataFrame) -> DataFrame:
     """The plan, or the fallback where a leg could not be planned at all; failures while a job runs are Spark's to retry."""
     return fallback if plan is None else plan

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from importlib import import_module
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -318,7 +319,13 @@ def answer_stability(spark, d):
     return answers.stability(_scored_answers(spark, d))
 
 
-@query()
+_ROUGE = f"""with recursive {_ANSWERS}, {_PAIRS}, j as materialized (select answer_id, coalesce(a.answer, '') as a, coalesce(p.answer, '') as b from answers a join pairs p using (qa_id)),
+steps as (select answer_id, a, b, 0 as i, list_transform(range(length(b)), lambda k: 0) as old from j where a <> '' and b <> ''
+union all select answer_id, a, b, i + 1, list_transform(range(1, length(b) + 1), lambda k: list_max(list_transform(range(1, k + 1), lambda m: greatest(old[m], case when substr(a, i + 1, 1) = substr(b, m, 1) then 1 + case when m = 1 then 0 else old[m - 1] end else 0 end)))) from steps where i < length(a))
+select j.answer_id, round(coalesce(2.0::double * s.old[length(s.b)] / (length(s.a) + length(s.b)), 0), 6) as rouge_l from j left join steps s on s.answer_id = j.answer_id and s.i = length(s.a)"""
+
+
+@query(_ROUGE)
 def rouge_l(spark, d):
     return _judged(spark, d).select("answer_id", F.round(answers.rouge_l("answer", "reference"), 6).alias("rouge_l"))
 
@@ -502,18 +509,19 @@ union all select 'hash_not_of_text', count(*) from evidence_parents where origin
 union all select 'answer_not_at_its_place', count(*) from pairs where substr(source_text, answer_start + 1, answer_end - answer_start) is distinct from answer
 union all select 'length_not_of_text', count(*) from documents where length(text) is distinct from n_chars""")
 def dq_doctor(spark, d):
-    parents, chunks, docs = table(spark, d, "evidence_parents"), table(spark, d, "retrieval_chunks"), table(spark, d, "documents", "text", "n_chars")
-    again = parents.withColumn("i", F.row_number().over(Window.partitionBy("parent_id").orderBy("loaded_at"))).where("i > 1")
+    parents = table(spark, d, "evidence_parents", "parent_id", "original_text", "source_hash")
+    chunks, docs = table(spark, d, "retrieval_chunks", "chunk_id", "parent_id", "text"), table(spark, d, "documents", "text", "n_chars")
     at = F.substring("source_text", F.col("answer_start") + 1, F.col("answer_end") - F.col("answer_start"))
-    return quality.checks(
-        ("parents_exported_again", again),
-        ("chunks_without_parent", quality.orphans(chunks.select("chunk_id", "parent_id").distinct(), parents, "parent_id")),
-        ("chunks_without_text", chunks.where("text is null")),
-        ("chunks_too_long", chunks.where("length(text) > 300")),
-        ("hash_not_of_text", parents.where(F.col("original_text").isNotNull() & ~F.upper(F.sha2("original_text", 256)).eqNullSafe(F.upper("source_hash")))),
-        ("answer_not_at_its_place", _pairs(spark, d).where(~at.eqNullSafe(F.col("answer")))),
-        ("length_not_of_text", docs.where(~F.length("text").cast("long").eqNullSafe(F.col("n_chars")))),
-    )
+    # each table is read once for all rules on single rows
+    one = [
+        quality.counts(parents, hash_not_of_text=F.col("original_text").isNotNull() & ~F.upper(F.sha2("original_text", 256)).eqNullSafe(F.upper("source_hash"))),
+        quality.counts(chunks, chunks_without_text=F.col("text").isNull(), chunks_too_long=F.length("text") > 300),
+        quality.counts(_pairs(spark, d), answer_not_at_its_place=~at.eqNullSafe(F.col("answer"))),
+        quality.counts(docs, length_not_of_text=~F.length("text").cast("long").eqNullSafe(F.col("n_chars"))),
+        parents.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.when(F.col("parent_id").isNotNull(), F.col("n") - 1).otherwise(F.col("n"))).alias("violations")).select(F.lit("parents_exported_again").alias("check"), F.coalesce("violations", F.lit(0)).alias("violations")),
+    ]
+    orphans = quality.checks(("chunks_without_parent", quality.orphans(chunks.select("chunk_id", "parent_id").distinct(), parents, "parent_id")))
+    return reduce(DataFrame.unionByName, one, orphans)
 
 
 @query("select 'tcm_qg_pairs' as source, (count(*) - count(distinct qa_id))::bigint as surplus from tcm_qg_pairs union all select 'formal_answers', (count(*) - count(distinct answer_id))::bigint from formal_answers")

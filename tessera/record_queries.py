@@ -299,3 +299,52 @@ def trace_events(spark, d):
 
     m = table(spark, d, "app_messages", "run_id", "thread_id", "ordinal", "tool_calls", "type", "content", "name")
     return trace.distinct_events(m).select("run_id", F.col("thread_id").alias("thread"), "event_key", "event")
+
+
+# ---- retrieval with legs that may be missing ----
+
+_LEGS = f"""with {_LISTS}, c as (select * from lists where strategy = 'child'), k as (select qa_id, chunk_id, bm25_score as base, row_number() over (partition by qa_id order by bm25_score desc, chunk_id) as place from c where bm25_score is not null and not isnan(bm25_score) qualify place <= 20),
+v as (select qa_id, chunk_id, overlap_score as base, row_number() over (partition by qa_id order by overlap_score desc, chunk_id) as place from c where overlap_score is not null and not isnan(overlap_score) qualify place <= 20),
+f as (select qa_id, chunk_id, sum(1.0::double / (60 + place)) as base from (select * from k union all select * from v) group by all), h as (select *, row_number() over (partition by qa_id order by round(base, 12) desc, chunk_id) as place from f qualify place <= 40),
+r as (select h.qa_id, h.chunk_id, c.score, row_number() over (partition by h.qa_id order by c.score desc nulls last, h.base desc, h.chunk_id) as place from h join c using (qa_id, chunk_id)),
+w as (select v.qa_id, v.chunk_id, c.score, row_number() over (partition by v.qa_id order by c.score desc nulls last, v.base desc, v.chunk_id) as place from v join c using (qa_id, chunk_id))"""
+
+
+def _missing():
+    raise FileNotFoundError("no such model")
+
+
+@query(
+    _LEGS
+    + """ select 'whole' as run, qa_id, chunk_id, place::int as place, round(score, 6) as score, 'hybrid' as mode, 0 as degraded, null as reason from r where place <= 10 union all
+select 'no_dense', qa_id, chunk_id, place::int, 0, 'keyword', 1, 'FileNotFoundError' from k where place <= 10 union all select 'no_reranker', qa_id, chunk_id, place::int, 0, 'keyword', 1, 'FileNotFoundError' from k where place <= 10 union all
+select 'database', qa_id, chunk_id, place::int, round(score, 6), 'hybrid', 0, null from r where place <= 10 union all select 'database_no_keywords', qa_id, chunk_id, place::int, round(score, 6), 'vector', 1, 'FileNotFoundError' from w where place <= 10"""
+)
+def retrieval_fallbacks(spark, d):
+    """The two services' answers with all legs, and with a leg or the reranker missing."""
+    from tessera.plans import retrieve
+
+    child = _lists(spark, d).where("strategy = 'child'")
+    candidates = child.select("qa_id", "chunk_id", F.col("bm25_score").alias("lexical"), F.col("overlap_score").alias("dense"))
+    keywords, dense = (lambda: retrieve.leg(candidates, "lexical", 20)), (lambda: retrieve.leg(candidates, "dense", 20))
+    scores = child.select("qa_id", "chunk_id", F.col("score").alias("rerank_score"))
+    reranked = lambda few: few.join(scores, ["qa_id", "chunk_id"], "left")
+    runs = {
+        "whole": retrieve.serve(keywords, dense, reranked, "hybrid", 10),
+        "no_dense": retrieve.serve(keywords, _missing, reranked, "hybrid", 10),
+        "no_reranker": retrieve.serve(keywords, dense, lambda few: _missing(), "hybrid", 10),
+        "database": retrieve.serve_from_database(keywords, dense, reranked, "hybrid", 10),
+        "database_no_keywords": retrieve.serve_from_database(_missing, dense, reranked, "hybrid", 10),
+    }
+    out = [df.select(F.lit(name).alias("run"), "qa_id", "chunk_id", "place", F.round("score", 6).alias("score"), "mode", F.col("degraded").cast("int").alias("degraded"), "reason") for name, df in runs.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
+@query(f"with docs as (select doc_id, text from documents where not {_blank('text')}) select doc_id, 1 as fits, 1 as held, (length(regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g')) > 500)::int as divided from docs")
+def recursive_checks(spark, d):
+    """What holds for recursive chunks: they fit 500 characters, stand where they say, and longer texts are divided."""
+    docs = table(spark, d, "documents", "doc_id", "text").where(~is_blank(F.col("text")))
+    chunks = chunking.recursive_chunks(docs, "doc_id", "text", 500, 80).join(docs, "doc_id")
+    own = F.expr("substring(text, start_index + 1, length(chunk))") == F.col("chunk")
+    each = chunks.groupBy("doc_id").agg(F.min((F.length("chunk") <= 500).cast("int")).alias("fits"), F.min(own.cast("int")).alias("held"), (F.count(F.lit(1)) > 1).cast("int").alias("divided"))
+    return each
