@@ -67,6 +67,16 @@ def alternate(rows: DataFrame, strata: list[str], key: str, seed: str) -> DataFr
     return placed.join(offsets, same).select(*rows.columns, side.alias("side"))
 
 
+def numbered_inside(rows: DataFrame, stratum: str, key: str, seed: str) -> DataFrame:
+    """Rows with i, their number from 1 in their stratum in the order of their lots, ties by key; ranges of lots as in ``alternate``."""
+    drawn = rows.withColumn("tessera_lot", lot(seed, F.col(stratum), F.col(key))).withColumn("tessera_range", F.substring("tessera_lot", 1, 3))
+    counts = drawn.groupBy(stratum, "tessera_range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(stratum).orderBy("tessera_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(stratum, "tessera_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("tessera_offset"))
+    inside = F.row_number().over(Window.partitionBy(stratum, "tessera_range").orderBy("tessera_lot", key))
+    return drawn.withColumn("tessera_at", inside).join(offsets, [stratum, "tessera_range"]).select(*rows.columns, (F.col("tessera_at") + F.col("tessera_offset")).alias("i"))
+
+
 def blind_labels(rows: DataFrame, key: str, method: str, seed: str) -> DataFrame:
     """Methods of each question behind letters, in an order drawn anew for each question."""
     w = Window.partitionBy(key).orderBy(lot(seed, F.col(key), F.col(method)), method)

@@ -11,8 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.sampling import numbered_by_lot
-from tessera.operators.skew import spread_row_number
+from tessera.operators.sampling import numbered_by_lot, numbered_inside
 from tessera.session import cut
 
 #: Clusters in a row of the packed table, and draws hashed at a time.
@@ -194,7 +193,7 @@ def stratified_bootstrap(rows: DataFrame, question: str, strata: list[str], metr
     seen = values.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("q").alias("different"), F.count_distinct("h").alias("strata"), F.count_if(F.col("h").isNull() | (F.coalesce("q", F.lit("")) == "") | F.exists("v", F.isnull)).alias("missing")).first()
     if not seen.n or seen.missing or seen.different < seen.n:
         raise ValueError(f"{seen.n} rows, {seen.missing} with something missing, {seen.different} different questions")
-    numbered = spread_row_number(values, "h", F.col("q"), F.col("q"), "i")
+    numbered = numbered_inside(values, "h", "q", seed)
     packed = numbered.groupBy("h", F.floor((F.col("i") - 1) / _BLOCK).alias("b")).agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("x")).select("h", "b", F.col("x.v").alias("v"))
     tasks = -(-resamples // _EACH)
 

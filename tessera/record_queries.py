@@ -11,9 +11,9 @@ from tessera.evidence_queries import _CHUNKS, _PARENTS, _SAID, _blank, _chunks,
 from tessera.functions import records
 from tessera.functions.text import clean_id, is_blank
 from tessera.functions.texts import text_key
-from tessera.operators import chunking, reviews, safety
+from tessera.operators import chunking, metrics, reviews, safety, stats
 from tessera.operators.skew import salted_join
-from tessera.queries import _ANSWERS, _LISTS, _QUESTIONS, _answers, _clean, _lists, _pairs, query
+from tessera.queries import _ANSWERS, _EACH, _LISTS, _QUESTIONS, _RESAMPLES, _answers, _clean, _lists, _pairs, _questions, query
 from tessera.sources import files
 from tessera.sources.tables import table
 
@@ -348,3 +348,40 @@ def recursive_checks(spark, d):
     own = F.expr("substring(text, start_index + 1, length(chunk))") == F.col("chunk")
     each = chunks.groupBy("doc_id").agg(F.min((F.length("chunk") <= 500).cast("int")).alias("fits"), F.min(own.cast("int")).alias("held"), (F.count(F.lit(1)) > 1).cast("int").alias("divided"))
     return each
+
+
+# ---- stratified bootstraps ----
+
+
+def _strata_sql(values: str, names: list[str], seed: str) -> str:
+    """Resamples of questions (q, h, m0, m1, …) inside strata h, as the operator draws them."""
+    sums = ", ".join(f"sum(m{j}) / (select count(*) from v) as m{j}" for j in range(len(names)))
+    rows = " union all ".join(f"select '{n}' as metric, (select avg(m{j}) from v) as value, quantile_cont(m{j}, 0.025) as lower, quantile_cont(m{j}, 0.975) as upper from m" for j, n in enumerate(names))
+    return f"""{_EACH.rstrip()}, v as ({values}), c as (select *, row_number() over (partition by h order by sha256('{seed}:' || h || ':' || q), q) - 1 as i from v), n as (select h, count(*) as n from v group by 1),
+d as (select h, r, ('0x' || substr(sha256('{seed}:' || r || ':' || h || ':' || k), 1, 12))::bigint % n as i from (select h, n, unnest(range(n)) as k from n), range({_RESAMPLES}) t(r)),
+m as (select r, {sums} from d join c using (h, i) group by 1), e as ({rows}) """
+
+
+_H = """'{"split":"' || split || '"}'"""
+_BOTH = "select metric, round({0}, 6) as {1}, round(lower, 6) as lower, round(upper, 6) as upper, {2}(select count(*) from v) as questions, (select count(*) from n) as strata from e"
+
+
+@query(_strata_sql(f"select qa_id as q, {_H} as h, mrr_10 as m0, recall_5 as m1 from each_ where strategy = 'child' and split is not null", ["mrr_10", "recall_5"], "mean") + _BOTH.format("value", "value", ""))
+def stratified_means(spark, d):
+    each = metrics.per_question(_lists(spark, d), _questions(spark, d)).where("strategy = 'child' and split is not null")
+    out = stats.stratified_bootstrap(each, "qa_id", ["split"], ["mrr_10", "recall_5"], _RESAMPLES, "mean")
+    r = lambda c: F.round(c, 6).alias(c)
+    return out.select("metric", r("value"), r("lower"), r("upper"), "questions", "strata")
+
+
+@query(
+    _strata_sql(f"select a.qa_id as q, {_H} as h, a.mrr_10 - b.mrr_10 as m0 from (select * from each_ where strategy = 'child') a join (select qa_id, mrr_10 from each_ where strategy = 'b4') b using (qa_id) where split is not null", ["mrr_10"], "pair")
+    + _BOTH.format("value", "delta", "(lower <= 0 and upper >= 0)::int as inconclusive, ")
+)
+def paired_strata(spark, d):
+    each = metrics.per_question(_lists(spark, d), _questions(spark, d)).where("split is not null")
+    both = each.where("strategy in ('child', 'b4')").groupBy("qa_id").agg(F.countDistinct("strategy").alias("n")).where("n = 2").select("qa_id")
+    a, b = (each.where(F.col("strategy") == s).join(both, "qa_id", "left_semi") for s in ("child", "b4"))
+    out = stats.paired_stratified_bootstrap(a, b, "qa_id", ["split"], ["mrr_10"], _RESAMPLES, "pair")
+    r = lambda c: F.round(c, 6).alias(c)
+    return out.select("metric", r("delta"), r("lower"), r("upper"), F.col("inconclusive").cast("int").alias("inconclusive"), "questions", "strata")
