@@ -101,3 +101,8 @@ def cost(calls: Column, tokens_in: Column, tokens_out: Column, price_in: float,
 def public_fields(values: Column, allowed: list[str]) -> Column:
     """A map without fields that aren't allowed and without private ones, whose names begin with two underscores."""
     return F.map_filter(values, lambda k, v: k.isin(allowed) & ~k.startswith("__"))
+
+
+def vector_literal(vector: Column) -> Column:
+    """A vector as text between brackets, six decimals each; null for null."""
+    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: F.format_string("%.6f", x.cast("double"))), ","), F.lit("]"))

@@ -56,6 +56,18 @@ def summary(rows: DataFrame, by: list[str], yes: dict[str, str], scored: str, sc
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows_n"), F.count_if(whole).alias("completed"), *[rate(c).alias(name) for c, name in yes.items()], *[F.count_if(F.col(scored) == f"score_{k}").alias(f"score_{k}") for k in range(scores)])
 
 
+def audited(rows: DataFrame, by: list[str], errors: list[str]) -> DataFrame:
+    """by, passed, failed, failures by decision, the reviewers in order and the first and last day of (status, decision, reviewer, day).
+
+    Reviewers of a group are gathered as a set: they are people, a few.
+    """
+    failed = F.col("status") == "fail"
+    return rows.groupBy(*by).agg(
+        F.count_if(F.col("status") == "pass").alias("passed"), F.count_if(failed).alias("failed"), *[F.count_if(failed & (F.col("decision") == e)).alias(e) for e in errors],
+        F.array_join(F.array_sort(F.collect_set("reviewer")), ",").alias("reviewers"), F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"),
+    )
+
+
 def quota_gaps(rows: DataFrame, quotas: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, wanted, got): strata whose number of rows isn't the wanted one, on either side."""
     got = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("got"))

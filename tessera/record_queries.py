@@ -11,7 +11,7 @@ from tessera.evidence_queries import _CHUNKS, _PARENTS, _SAID, _blank, _chunks,
 from tessera.functions import records
 from tessera.functions.text import clean_id, is_blank
 from tessera.functions.texts import text_key
-from tessera.operators import chunking, metrics, reviews, safety, stats
+from tessera.operators import chunking, metrics, quality, reviews, safety, stats
 from tessera.operators.skew import salted_join
 from tessera.queries import _ANSWERS, _EACH, _LISTS, _QUESTIONS, _RESAMPLES, _answers, _clean, _lists, _pairs, _questions, query
 from tessera.sources import files
@@ -385,3 +385,44 @@ def paired_strata(spark, d):
     out = stats.paired_stratified_bootstrap(a, b, "qa_id", ["split"], ["mrr_10"], _RESAMPLES, "pair")
     r = lambda c: F.round(c, 6).alias(c)
     return out.select("metric", r("delta"), r("lower"), r("upper"), F.col("inconclusive").cast("int").alias("inconclusive"), "questions", "strata")
+
+
+# ---- last messages, vectors, review rows ----
+
+
+@query(f"with {_SAID}, l as (select thread_id, arg_max({{'t': type, 'n': name, 'x': text}}, {{'o': ordinal, 'i': id}}) as x from m group by 1) select thread_id, x.n as tool, x.x as asked from l where x.t = 'tool' and x.n is not null and not {_blank('x.x')}")
+def open_questions(spark, d):
+    """Threads whose last message is a tool's, with what it says: a run that waits for the user ends so."""
+    m = _said(spark, d)
+    last = m.groupBy("thread_id").agg(F.max_by(F.struct("type", "name", "text"), F.struct("ordinal", "id")).alias("x"))
+    return last.where((F.col("x.type") == "tool") & F.col("x.name").isNotNull() & ~is_blank(F.col("x.text"))).select("thread_id", F.col("x.name").alias("tool"), F.col("x.text").alias("asked"))
+
+
+@query("select vec_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.6f', x::double)), ',') || ']' as literal from embeddings")
+def vector_literals(spark, d):
+    return table(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", records.vector_literal(F.col("embedding")).alias("literal"))
+
+
+def _review_rows(spark, d) -> DataFrame:
+    """Review rows as answers give them: support decides, the model is the reviewer, the first citation the comment."""
+    a = _answers(spark, d)
+    status = F.when(F.col("retrieval_supported").isNull(), "pending").when(F.col("retrieval_supported"), "pass").otherwise("fail")
+    decision = F.when(F.col("abstain"), "wrong").when(~F.col("abstain"), "correct")
+    return a.select("answer_id", "method", status.alias("status"), decision.alias("decision"), F.col("model_name").alias("reviewer"), F.get("citations", F.lit(0)).alias("comment"), F.to_date("answered_at").alias("day"))
+
+
+_REVIEW_ROWS = f"""with {_ANSWERS}, rows_ as (select answer_id, method, case when retrieval_supported is null then 'pending' when retrieval_supported then 'pass' else 'fail' end as status, case when abstain then 'wrong' when not abstain then 'correct' end as decision, model_name as reviewer, citations[1] as comment, answered_at::date as day from answers)"""
+
+
+@query(
+    _REVIEW_ROWS
+    + """ select answer_id, case when status = 'pending' and (decision is not null or reviewer is not null) then 'pending_filled' when status in ('pass', 'fail') and reviewer is null then 'no_reviewer' when status = 'pass' and decision is distinct from 'correct' then 'pass_not_correct'
+when status = 'fail' and (decision is null or decision = 'correct') then 'fail_without_error' when status = 'fail' and comment is null then 'fail_without_comment' end as violation from rows_"""
+)
+def review_rules(spark, d):
+    return quality.review_violations(_review_rows(spark, d)).select("answer_id", "violation")
+
+
+@query(_REVIEW_ROWS + " select method, count_if(status = 'pass') as passed, count_if(status = 'fail') as failed, count_if(status = 'fail' and decision = 'wrong') as wrong, coalesce(string_agg(distinct reviewer, ',' order by reviewer), '') as reviewers, min(day)::varchar as first_day, max(day)::varchar as last_day from rows_ group by 1")
+def audit_summary(spark, d):
+    return reviews.audited(_review_rows(spark, d), ["method"], ["wrong"])
