@@ -393,16 +393,16 @@ def _cut_short(pairs: DataFrame) -> DataFrame:
     return each.where("(opens >= 0.8 and pair < 0.9) or (one < 0.03 and pair_inside < 0.3)").select("id")
 
 
-@lru_cache(4096)
+@lru_cache(4)
 def _automaton(prompt: str) -> SuffixAutomaton:
-    """One automaton a prompt: its answers come to the same task."""
+    """One automaton a prompt and task: its answers lie side by side."""
     return SuffixAutomaton(prompt)
 
 
 UNDECIDED = "undecided"
 
 
-@lru_cache(4096)
+@lru_cache(4)
 def _prompt(question: str) -> tuple[str, int, str | None]:
     """Letters of a question, the least stretch of them that counts as copied, and its language."""
     folded = fold(question)
@@ -473,7 +473,7 @@ def judge(answers: DataFrame, prompts: DataFrame, answer_id: str = "answer_id",
     a = answers.where(F.col(answer_id).isNotNull()).groupBy(answer_id).agg(F.max(F.struct(F.coalesce(F.col(answer), F.lit("")).alias("text"), F.col(key).alias("key"))).alias("x")).select(F.col(answer_id).alias("id"), "x.text", "x.key")
     version = F.coalesce(F.col("question_version"), F.lit(0)) if "question_version" in prompts.columns else F.lit(0)
     p = prompts.where(F.col(key).isNotNull() & F.col(question).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max_by(question, F.struct(version, F.col(question))).alias("question"))
-    pairs = salted_join(a, p, "key", F.col("id"), how="left").select("id", "text", "question")
+    pairs = salted_join(a, p, "key", F.col("id"), how="left").select("id", "text", "question").sortWithinPartitions("question")
     kind = answers.schema[answer_id].dataType.simpleString()
     first = cut(pairs.mapInArrow(_judged, f"id {kind}, defect string, habits array<string>"))  # no texts any more
     asked = first.where("habits is not null").select("id", F.explode("habits").alias("habit"))
