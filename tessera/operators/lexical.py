@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.operators.skew import hot_keys
 from tessera.session import cut
 
+#: Weighted query terms that are sent to all tasks at most; more of them are joined by shuffling.
+FEW = 1 << 17
 # Fixed values of the scoring formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -40,8 +42,10 @@ def idf(posts: DataFrame, n_docs: int) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, query_key: str, query_text: str, doc_key: str, doc_text: str, server: bool = False) -> DataFrame:
     """(query_key, doc_key, score) of every pair that shares a term; statistics are those of all documents.
 
-    A join of postings on the term; documents without a common term have score 0 and no row. Terms that many documents have
-    are salted by document on both sides' behalf, so one term's postings are spread over tasks. ``server``: the constants of
+    A join of postings on the term; documents without a common term have score 0 and no row. Counted query terms of a bounded
+    number go to the postings, which lie by document, so that a document's terms are summed where they are. More of them are
+    joined by shuffling, and terms that many documents have are salted by document on both sides' behalf, so one term's
+    postings are spread over tasks. ``server``: the constants of
     search servers, k1 = 1.2 and an idf that is never negative.
     """
     k1 = 1.2 if server else K1
@@ -50,12 +54,15 @@ def bm25(queries: DataFrame, docs: DataFrame, query_key: str, query_text: str, d
     length = (posts.agg(F.sum("tf")).first()[0] or 0) / max(n, 1) or 1.0
     weights = (server_idf if server else idf)(posts, n)
     asked = queries.select(query_key, F.explode(terms(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    asked = asked.join(weights, "term")
-    hot = [r[0] for r in hot_keys(posts, "term").collect()]
-    salts = 16
-    spread = F.when(F.col("term").isin(hot), F.pmod(F.xxhash64(doc_key), F.lit(salts))).otherwise(F.lit(0)).cast("int") if hot else F.lit(0)
-    copies = F.when(F.col("term").isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
-    both = posts.withColumn("salt", spread).join(asked.withColumn("salt", F.explode(copies)), ["term", "salt"])
+    asked = cut(asked.join(weights, "term"))
+    if asked.count() <= FEW:
+        both = posts.join(F.broadcast(asked), "term")
+    else:
+        hot = [r[0] for r in hot_keys(posts, "term").collect()]
+        salts = 16
+        spread = F.when(F.col("term").isin(hot), F.pmod(F.xxhash64(doc_key), F.lit(salts))).otherwise(F.lit(0)).cast("int") if hot else F.lit(0)
+        copies = F.when(F.col("term").isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
+        both = posts.withColumn("salt", spread).join(asked.withColumn("salt", F.explode(copies)), ["term", "salt"])
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - B + B * F.col("dl") / F.lit(float(length))))
     return both.groupBy(query_key, doc_key).agg(F.sum(part).alias("score"))
 

@@ -101,3 +101,16 @@ def test_review_labels(spark):
     rows = spark.createDataFrame([("m", "yes", "score_1"), ("m", "not_applicable", None), ("n", None, "score_0")], "method string, ok string, full string")
     got = {r.method: tuple(r)[1:] for r in reviews.summary(rows, ["method"], {"ok": "rate"}, "full", 2).collect()}
     assert got == {"m": (2, 1, 1.0, 0, 1), "n": (1, 0, None, 1, 0)}
+
+
+def test_both_ways_of_joining_query_terms_agree(spark, monkeypatch):
+    from tessera.operators import lexical
+
+    rng = random.Random(12)
+    words = ["气虚", "血瘀", "痰湿", "ginseng", "tea", "阴亏"]
+    docs = spark.createDataFrame([(f"d{i}", " ".join(rng.choices(words, k=rng.randrange(0, 9))), "x") for i in range(60)] + [("d60", None, "x")], "doc string, body string, term string")
+    asked = spark.createDataFrame([(i, " ".join(rng.choices(words, k=3))) for i in range(9)] + [(9, None)], "q long, said string")
+    score = lambda: {(r.q, r.doc): round(r.score, 9) for r in lexical.bm25(asked, docs.drop("term"), "q", "said", "doc", "body").collect()}
+    few = score()
+    monkeypatch.setattr(lexical, "FEW", 0)
+    assert few and score() == few
