@@ -114,3 +114,32 @@ def test_both_ways_of_joining_query_terms_agree(spark, monkeypatch):
     few = score()
     monkeypatch.setattr(lexical, "FEW", 0)
     assert few and score() == few
+
+
+def test_best_documents_block_by_block_are_those_of_all_pairs(spark, monkeypatch):
+    from tessera.operators import lexical
+
+    rng = random.Random(13)
+    words = ["气虚", "血瘀", "痰湿", "ginseng", "tea", "阴亏", "x"]
+    body = lambda: rng.choice([None, "", " ".join(rng.choices(words, k=rng.randrange(1, 9)))])
+    docs = spark.createDataFrame([(f"d{i}", body(), body()) for i in range(90)], "doc string, body string, title string")
+    asked = spark.createDataFrame([(i, " ".join(rng.choices([*words, "z"], k=3))) for i in range(9)] + [(9, None), (10, "z")], "q long, said string")
+    order = (F.desc(F.round("score", 9)), F.col("doc"))
+    rows = lambda df: {(r.q, r.doc, r["rank"]): round(r.score, 9) for r in df.collect()}
+    for server, boosts in ((False, {"body": 1.0}), (True, {"body": 3.0, "title": 2.0})):
+        parts = [lexical.bm25(asked, docs.where(F.col(f).isNotNull()), "q", "said", "doc", f, server).withColumn("score", F.col("score") * b) for f, b in boosts.items()]
+        pairs = parts[0].unionByName(parts[-1]).groupBy("q", "doc").agg(F.max("score").alias("score"))
+        want = rows(lexical.top_k(pairs, "q", 5, *order))
+        for block, part, cells in ((8192, 1 << 22, 1 << 20), (3, 40, 30)):
+            monkeypatch.setattr(lexical, "BLOCK", block)
+            monkeypatch.setattr(lexical, "PART", part)
+            monkeypatch.setattr(lexical, "CELLS", cells)
+            got = lexical.bm25_top_k(asked, docs, "q", "said", "doc", boosts, 5, server, also=["d0", "d1"])
+            assert want and rows(lexical.top_k(got, "q", 5, *order)) == want
+            kept = F.col("doc").isin("d0", "d1")
+            assert sorted((r.q, r.doc) for r in got.where(kept).collect()) == sorted((r.q, r.doc) for r in pairs.where(kept).collect())
+    low = lexical.bm25_top_k(asked.where("q < 0"), docs, "q", "said", "doc", {"body": 1.0}, 5)
+    assert low.count() == 0 and lexical.bm25_top_k(asked, docs.limit(0), "q", "said", "doc", {"body": 1.0}, 5).count() == 0
+    few = spark.createDataFrame([("a", "tea tea x"), ("b", "tea")], "doc string, body string")  # each term in half of the documents or more
+    got = {(r.q, r.doc): (round(r.score, 9), r.shared) for r in lexical.bm25_top_k(asked, few, "q", "said", "doc", {"body": 1.0}, 5).collect()}
+    assert {k: v[0] for k, v in got.items()} == {(r.q, r.doc): round(r.score, 9) for r in lexical.bm25(asked, few, "q", "said", "doc", "body").collect()}
