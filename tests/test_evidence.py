@@ -141,5 +141,6 @@ def test_best_documents_block_by_block_are_those_of_all_pairs(spark, monkeypatch
     low = lexical.bm25_top_k(asked.where("q < 0"), docs, "q", "said", "doc", {"body": 1.0}, 5)
     assert low.count() == 0 and lexical.bm25_top_k(asked, docs.limit(0), "q", "said", "doc", {"body": 1.0}, 5).count() == 0
     few = spark.createDataFrame([("a", "tea tea x"), ("b", "tea")], "doc string, body string")  # each term in half of the documents or more
-    got = {(r.q, r.doc): (round(r.score, 9), r.shared) for r in lexical.bm25_top_k(asked, few, "q", "said", "doc", {"body": 1.0}, 5).collect()}
-    assert {k: v[0] for k, v in got.items()} == {(r.q, r.doc): round(r.score, 9) for r in lexical.bm25(asked, few, "q", "said", "doc", "body").collect()}
+    got = {(r.q, r.doc): (round(r.score, 9), r.shared) for r in lexical.bm25_top_k(asked, few, "q", "said", "doc", {"body": 1.0}, 5, counted=True).collect()}
+    said, held = {r.q: set((r.said or "").split()) for r in asked.collect()}, {"a": {"tea", "x"}, "b": {"tea"}}
+    assert got == {(r.q, r.doc): (round(r.score, 9), len(said[r.q] & held[r.doc])) for r in lexical.bm25(asked, few, "q", "said", "doc", "body").collect()}

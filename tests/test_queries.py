@@ -42,6 +42,14 @@ def test_runs(spark, name):
     assert core.queries()[name](spark, DATA).count() > 0
 
 
+@pytest.mark.parametrize("name", ["field_boost_keyword"])
+def test_lists_of_the_best_do_without_all_pairs(spark, monkeypatch, name):
+    from tessera.operators import lexical
+
+    monkeypatch.delattr(lexical, "bm25")
+    assert core.queries()[name](spark, DATA).count() > 0
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
