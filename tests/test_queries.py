@@ -42,7 +42,7 @@ def test_runs(spark, name):
     assert core.queries()[name](spark, DATA).count() > 0
 
 
-@pytest.mark.parametrize("name", ["field_boost_keyword", "filled_topk"])
+@pytest.mark.parametrize("name", ["field_boost_keyword", "filled_topk", "bm25_overlap_rerank"])
 def test_lists_of_the_best_do_without_all_pairs(spark, monkeypatch, name):
     from tessera.operators import lexical
 
